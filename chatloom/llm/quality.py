@@ -71,6 +71,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     w = F.col("_w")
     follows = lambda test: F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), test), lambda x: x)
     by_word = {
+        "_tokens": F.size(w).cast("double"),
         "_common": F.size(F.filter(w, lambda x: x.isin(*GLUE))).cast("double"),
         "_needy": F.size(follows(lambda a, b: F.coalesce(a.isin(*NEEDY) & b.isin(*NEEDY), F.lit(False)))).cast("double"),
         "_repeats": F.size(follows(lambda a, b: F.coalesce(a == b, F.lit(False)))).cast("double"),
@@ -85,8 +86,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "speaker_share": per("_speakers", "_lines"), "short_line_share": per("_short", "_lines"), "tab_share": per("_tabs", "_lines"),
         "semicolon_share": per("_semis", "_lines"), "pipe_share": per("_pipes", "_lines"), "comma_share": per("_commas", "_lines"),
         "column_share": per("_columns", "_lines"), "number_share": per("_numbers", "_words"), "separator_rate": per("_separators", "_words"),
-        "common_word_share": per("_common", "_words"), "needy_pair_share": per("_needy", "_words"), "repeat_share": per("_repeats", "_words"),
-        "distinct_share": F.when(F.col("_words") > 0, F.least(F.col("_distinct") / F.col("_words"), F.lit(1.0))).otherwise(0.0),
+        "common_word_share": per("_common", "_tokens"), "needy_pair_share": per("_needy", "_tokens"), "repeat_share": per("_repeats", "_tokens"),
+        "distinct_share": per("_distinct", "_tokens"),
         "cluster_share": per("_clusters", "_words"), "damage_share": per("_damage", "_solid"), "long_word_share": per("_long", "_words"),
     }
     kept = [c for c in docs.columns if c not in STATISTICS]
@@ -111,7 +112,7 @@ def seed_labels() -> Column:
         .when((c("speaker_share") >= 0.5) & (c("words_per_line") >= 4) & (c("letter_share") > 0.75), "prose")
         .when((c("words_per_line") >= 7) & (c("common_word_share") >= 0.1) & (c("needy_pair_share") < 0.1) & (c("letter_share") > 0.85) & (c("separator_rate") < 0.05), "prose")
         .when((c("end_mark_share") >= 0.5) & (c("common_word_share") >= 0.15) & (c("bullet_share") < 0.2) & (c("letter_share") > 0.85), "prose")
-        .when((c("end_mark_share") >= 0.5) & (c("letter_share") > 0.85) & (c("words_per_line") >= 5) & (c("bullet_share") < 0.2) & (c("separator_rate") < 0.05) & (c("damage_share") == 0), "prose")
+        .when((c("end_mark_share") >= 0.5) & (c("letter_share") > 0.7) & (c("number_share") < 0.4) & (c("words_per_line") >= 5) & (c("bullet_share") < 0.2) & (c("separator_rate") < 0.05) & (c("damage_share") == 0), "prose")
         .when(wordy & (c("common_word_share") >= 0.2) & (c("letter_share") > 0.8), "prose")
     )
 
