@@ -169,7 +169,7 @@ def _worth(rule: Rule, x: np.ndarray, y: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
-def induce_rules(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...] = ("table", "list", "junk"), seed: int = 7, thresholds: int = 128, least: float = 0.9) -> list[Rule]:
+def induce_rules(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...] = ("table", "list", "junk"), seed: int = 7, thresholds: int = 128, least: float = 0.9, tries: int = 4) -> list[Rule]:
     """Ordered rules for the kinds in `order`; what none covers is of the remaining kind.
 
     Incremental reduced-error pruning: each rule grows on two thirds of what is left, loses its last tests while that doesn't
@@ -183,7 +183,8 @@ def induce_rules(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...] = ("ta
         middle = (values[1:] + values[:-1]) / 2
         cuts.append(middle if len(middle) <= thresholds else np.unique(np.quantile(middle, np.linspace(0, 1, thresholds))))
     for kind in order:
-        while (y := kinds == kind)[left].any():
+        failures = 0
+        while (y := kinds == kind)[left].any() and failures < tries:
             at = rng.permutation(np.flatnonzero(left))
             # both parts hold the kind in proportion
             at = np.concatenate([at[y[at]], at[~y[at]]])
@@ -192,14 +193,16 @@ def induce_rules(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...] = ("ta
             grow_part = left & ~prune_part
             tests = _grow(x[grow_part], y[grow_part], cuts)
             if not tests:
-                break
+                failures += 1
+                continue
             rule = Rule(tuple(tests), kind)
             on = prune_part if (y & prune_part).any() else grow_part
             while len(rule.tests) > 1 and _worth(shorter := Rule(rule.tests[:-1], kind), x[on], y[on]) >= _worth(rule, x[on], y[on]):
                 rule = shorter
             covered = rule.on(x) & left
             if _worth(rule, x[on], y[on]) <= least or not (covered & y).any():
-                break
+                failures += 1  # another division may still give a rule
+                continue
             rules.append(rule)
             left &= ~covered
     return rules
