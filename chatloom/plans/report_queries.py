@@ -77,7 +77,9 @@ def _emoji(sql: str) -> str:
 _TOKENS = _M + ", n0 AS (SELECT chat_id, msg_id, message, regexp_replace(regexp_replace(message, '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g'), '[‘’]', '''', 'g') AS t FROM m)"
 for _i, (_short, _full) in enumerate(ct.CONTRACTIONS):
     _TOKENS += f", n{_i + 1} AS (SELECT chat_id, msg_id, message, regexp_replace(t, '(?i)\\b{_short.replace(chr(39), chr(39) * 2)}\\b', '{_full}', 'g') AS t FROM n{_i})"
-_TOKENS += f", tk AS (SELECT chat_id, msg_id, message, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+(?:[-''][\\p{{L}}\\p{{N}}]+)*') AS tokens FROM n{len(ct.CONTRACTIONS)})"
+# a run of a character counts at most twice
+_TOKENS += f", nr AS (SELECT chat_id, msg_id, message, string_split(t, '') AS cs FROM n{len(ct.CONTRACTIONS)}), nz AS (SELECT chat_id, msg_id, message, array_to_string(list_filter(cs, lambda x, i: NOT (i > 2 AND x = cs[i - 1] AND x = cs[i - 2])), '') AS t FROM nr)"
+_TOKENS += f", tk AS (SELECT chat_id, msg_id, message, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+(?:[-''][\\p{{L}}\\p{{N}}]+)*') AS tokens FROM nz)"
 
 
 def _in(words: list[str]) -> str:
