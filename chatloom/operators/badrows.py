@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.operators.timeline import UNSEEN
+from chatloom.session import set_aside
 
 _CUT, _ESC = "\x01b", "\x01a"  # a field cut, and the escape of the mark itself
 
@@ -73,10 +74,11 @@ def failed_records(raw: DataFrame, offset: str = "raw_id", record: str = "record
     Reason: `quoting`, else `columns` (a null record has none), else the first bad field. Repeated records each come out; an offset given
     twice is told apart by its record, null offsets too.
     """
+    raw, back = set_aside(raw)
     loaded = strict_load(raw, offset, record).select(F.col(offset).alias("_offset"), F.col("record_hash").alias("_hash"))
     rest = raw.join(loaded, F.col(offset).eqNullSafe(F.col("_offset")) & (F.xxhash64(record) == F.col("_hash")), "left_anti")
     parts = csv_parts(F.col(record))
     fields = F.when(quoting_ok(parts), csv_fields(parts))
     seen = rest.withColumn("_f", fields)
     reason = F.when(F.col(record).isNull(), "columns").when(F.col("_f").isNull(), "quoting").when(F.size("_f") != 4, "columns").otherwise(first_bad_field(F.col("_f")))
-    return seen.withColumn("reason", reason).drop("_f")
+    return seen.withColumn("reason", reason).drop("_f").withColumnsRenamed(back)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import stamps
-from chatloom.session import checked_broadcast
+from chatloom.session import checked_broadcast, set_aside
 
 ORDERS = ("dmy", "mdy", "ymd")
 #: How usual each order is before a source's own values speak; a two-digit year in front is rare.
@@ -38,15 +38,15 @@ def order_posteriors(
     source: str,
     iterations: int = 30,
     strength: float = 20.0,
-    against: float = 3.0,
+    against: float = 7.0,
     background: float = 3e-7,
     age_days: float = 365.0,
 ) -> DataFrame:
     """Posterior of each date order per `source` and set of valid orders.
 
-    `numbers` has `source` and n1, n2, n3; `exports` has `source` and `exported_day`. The density of an order is
+    `numbers` has `source` and n1, n2, n3; `exports` has `source` and `_exported_day`. The density of an order is
     uniform over its days and falls with their mean age at the export, by e for each `age_days`; an order
-    whose days lie after the export on the whole has next to none. Result: `source`, `em_posterior` ARRAY<STRUCT<dmy,mdy,ymd>>, at
+    whose days lie after the export on the whole has next to none. Result: `source`, `_em_posterior` ARRAY<STRUCT<dmy,mdy,ymd>>, at
     index m the posterior of a value that is a real date under the orders in bit mask m. A source
     without such values has no row.
     """
@@ -58,8 +58,8 @@ def order_posteriors(
         F.array(*[F.max(f"_{o}") - F.min(f"_{o}") + 1 for o in ORDERS]).alias("_span"),
         F.array(*[F.avg(f"_{o}") for o in ORDERS]).alias("_mean"),
     )
-    state = state.join(exports.select(source, "exported_day"), source, "left")
-    age = lambda mean: F.coalesce(F.col("exported_day") - mean, F.lit(0.0))
+    state = state.join(exports.select(source, "_exported_day"), source, "left")
+    age = lambda mean: F.coalesce(F.col("_exported_day") - mean, F.lit(0.0))
     fit = lambda mean: F.exp(-F.abs(age(mean)) / F.when(age(mean) < -2, age_days / 100).otherwise(age_days))
     density = F.zip_with(F.col("_span"), F.col("_mean"), lambda span, mean: F.coalesce(fit(mean) / span, F.lit(0.0)))
     state = state.withColumn("_density", density)
@@ -86,7 +86,7 @@ def order_posteriors(
         return share(summed, F.lit(0.0))
 
     fitted = state.withColumn("_pi", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.col("_prior"), step))
-    return fitted.select(source, F.transform(each(F.col("_pi")), lambda r: F.struct(*[r[i].alias(o) for i, o in enumerate(ORDERS)])).alias("em_posterior"))
+    return fitted.select(source, F.transform(each(F.col("_pi")), lambda r: F.struct(*[r[i].alias(o) for i, o in enumerate(ORDERS)])).alias("_em_posterior"))
 
 
 def resolve_instants(
@@ -110,9 +110,9 @@ def resolve_instants(
     named like one of the four results is replaced.
     """
     outs = ["stamp_status", "utc_second", "stamp_order", "stamp_confidence"]
-    rows = rows.drop(*outs)
+    rows, back = set_aside(rows.drop(*outs))
     known = exports.dropDuplicates([source]).select(
-        F.col(source).alias("_src"), F.col(zone).alias("_zone"), F.col(order).alias("_order"), F.unix_date(F.col(exported).cast("date")).alias("exported_day")
+        F.col(source).alias("_src"), F.col(zone).alias("_zone"), F.col(order).alias("_order"), F.unix_date(F.col(exported).cast("date")).alias("_exported_day")
     )
     parsed = rows.withColumns({"_d": stamps.clean_stamp(F.col(date)), "_t": stamps.clean_stamp(F.col(time)), "_src": F.col(source)})
     parsed = parsed.withColumn("_shape", stamps.date_shape(F.col("_d")))
@@ -127,7 +127,7 @@ def resolve_instants(
 
     df = df.withColumns({f"_day_{o}": v for o, v in stamps.ordered_days(F.col("_n1"), F.col("_n2"), F.col("_n3")).items()})
     df = df.withColumn("_mask", _mask({o: F.col(f"_day_{o}") for o in ORDERS}))
-    df = df.withColumn("_p", F.coalesce(F.col("em_posterior")[F.col("_mask")], F.struct(*[F.lit(0.0).alias(o) for o in ORDERS])))
+    df = df.withColumn("_p", F.coalesce(F.col("_em_posterior")[F.col("_mask")], F.struct(*[F.lit(0.0).alias(o) for o in ORDERS])))
     best = F.greatest(*[F.col("_p")[o] for o in ORDERS])
     guess = F.when(best == F.col("_p.dmy"), "dmy").when(best == F.col("_p.mdy"), "mdy").otherwise("ymd")
     guessed = F.when(guess == "dmy", F.col("_day_dmy")).when(guess == "mdy", F.col("_day_mdy")).otherwise(F.col("_day_ymd"))
@@ -176,4 +176,4 @@ def resolve_instants(
     second = F.when(count, written).otherwise(F.col("_wall") - F.coalesce(F.col("_offset"), F.when(F.col("_h1"), F.col("_o1")).otherwise(F.col("_o2"))))
     df = df.withColumn("utc_second", F.when(F.col("stamp_status") == "resolved", second.cast("bigint")))
     # as a generated row, so that filters on the results don't unfold all the steps above into one predicate
-    return df.select(*rows.columns, F.inline(F.array(F.struct(*outs))))
+    return df.select(*rows.columns, F.inline(F.array(F.struct(*outs)))).withColumnsRenamed(back)

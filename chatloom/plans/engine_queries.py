@@ -7,9 +7,10 @@ import os
 from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
-from chatloom.operators import report, retrieval, usage
-from chatloom.plans.report_queries import _TOKENS, _in
-from chatloom.session import materialize, table
+from chatloom.operators import facts, report, retrieval, usage
+from chatloom.plans.report_queries import _LEN, _M, _TOKENS, _in, masked_sql
+from chatloom.session import materialize, scratch_path, table
+from chatloom.sources import chatlog
 from chatloom.streaming import live
 
 QUESTION = "when does the film club begin?"
@@ -34,7 +35,25 @@ def _final_totals(spark, sf_dir):
     return out.groupBy("user_id").agg(F.max_by("n", "n").alias("n"), F.max_by("total", "n").alias("total"))
 
 
+def _round_trip(spark, sf_dir):
+    """Messages written as text exports, read again and parsed."""
+    path = scratch_path(spark, "exports")
+    chatlog.write_exports(_m(spark, sf_dir), path)
+    files = chatlog.read_exports(spark, path)
+    parsed = chatlog.parse_exports(files.select("file", "value"))
+    folder = lambda name: F.regexp_extract("file", f"{name}=(\\d+)", 1).cast("bigint")
+    return parsed.select(folder("chat_id").alias("chat_id"), folder("part").alias("part"), "id", "date", "time", "ts", "sender", "message", "message_length", "is_media", "is_deleted")
+
+
+def _facts(section):
+    return lambda spark, sf_dir: section(table(spark, sf_dir, "person_facts"))
+
+
 QUERIES = {
+    "source_round_trip": _round_trip,
+    "facts_normalised": _facts(facts.normalised_facts),
+    "facts_documents": _facts(lambda f: facts.to_documents(facts.normalised_facts(f))),
+    "facts_of_people": lambda s, d: facts.facts_of_people(table(s, d, "person_facts"), _m(s, d)),
     "index_corpus_stats": lambda s, d: retrieval.corpus_stats(_m(s, d)),
     "index_document_frequency": lambda s, d: retrieval.document_frequency(retrieval.postings(_m(s, d))),
     "index_stem_totals": lambda s, d: retrieval.stem_totals(retrieval.postings(_m(s, d))),
@@ -67,7 +86,22 @@ _STEM = f"CASE WHEN length(token) <= 3 THEN token ELSE coalesce(map_extract_valu
 _FUZZ = """, v AS (SELECT DISTINCT token FROM po WHERE length(token) >= 4), x AS (SELECT token, unnest(['kitchen', 'pottery', 'mountain', 'balcony']) AS term FROM v),
 y AS (SELECT *, levenshtein(regexp_replace(token, '[^\\x00-\\x7F]', '?', 'g'), term) AS dist, greatest(length(token), length(term)) AS longest FROM x)
 SELECT token, term, 1 - dist / longest AS similarity FROM y WHERE token <> term AND dist <= CASE WHEN longest <= 5 THEN 1 ELSE 2 END AND 1 - dist / longest >= 0.8"""
+_WS = r"[\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_TRIM = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+_FACTS = f"""WITH c AS (SELECT chat_id, trim(person) AS person, fact_id, lower(trim(coalesce(category, ''))) AS category,
+  left(trim(regexp_replace(coalesce(fact, ''), '\\s+', ' ', 'g')), 220) AS fact, left({masked_sql("trim(regexp_replace(coalesce(evidence, ''), '\\s+', ' ', 'g'))")}, 140) AS evidence FROM person_facts),
+n AS (SELECT chat_id, person, row_number() OVER (PARTITION BY chat_id, person ORDER BY fact_id) AS place, CASE WHEN category IN {_in(facts.KINDS)} THEN category ELSE 'other' END AS category, fact, evidence FROM c WHERE fact <> '')
+"""
 ORACLES = {
+    "source_round_trip": _M + f""", f AS (SELECT chat_id, msg_id, ts, sender, message FROM m WHERE ts IS NOT NULL AND regexp_full_match(sender, '[^:\\n\\r]{{1,60}}') AND {_TRIM("sender")} <> ''),
+l AS (SELECT *, string_split_regex(translate(message, '\u202f\u00a0\u200e\u200f', '    '), '\\r?\\n') AS ls FROM f),
+j AS (SELECT chat_id, msg_id, ts, {_TRIM("translate(sender, '\u202f\u00a0\u200e\u200f', '    ')")} AS sender,
+  {_TRIM("array_to_string(list_concat([ls[1]], list_filter(list_transform(ls[2:], lambda x: " + _TRIM("x") + "), lambda x: x <> '')), chr(10))")} AS message FROM l)
+SELECT chat_id, floor(msg_id / 20000)::BIGINT AS part, row_number() OVER (PARTITION BY chat_id, floor(msg_id / 20000) ORDER BY msg_id) - 1 AS id, strftime(ts, '%d/%m/%Y') AS date, strftime(ts, '%H:%M') AS time, ts,
+  sender, message, {_LEN} AS message_length, regexp_matches(message, '(?i)<media omitted>|(?:image|video|audio|sticker|document|gif) omitted') AS is_media, regexp_matches(message, '(?i)this message was deleted|you deleted this message') AS is_deleted
+FROM j WHERE message <> ''""",
+    "facts_normalised": _FACTS + "SELECT * FROM n WHERE place <= 5",
+    "facts_of_people": _M + " SELECT f.chat_id, f.person, count(*) AS facts FROM person_facts f WHERE EXISTS (SELECT 1 FROM m WHERE m.chat_id = f.chat_id AND lower(trim(m.sender)) = lower(trim(f.person))) GROUP BY ALL",
     "index_corpus_stats": _MEAN + " SELECT chat_id, count(*) AS docs, greatest(1.0, avg(len(ts))) AS average_tokens FROM mt GROUP BY chat_id",
     "index_document_frequency": _MEAN + " SELECT chat_id, token, count(DISTINCT msg_id) AS df FROM po GROUP BY ALL",
     "index_stem_totals": _MEAN + f" SELECT chat_id, stem, count(*) AS occurrences FROM (SELECT chat_id, {_STEM} AS stem FROM po) GROUP BY ALL",

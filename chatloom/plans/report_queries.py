@@ -98,9 +98,14 @@ _MASKS = [
     (rf"(?i)\b([A-Za-z0-9_.-]+)@(?:{'|'.join(ct.PAY_HANDLES)})\b", r"\1@XXXXX"),
     *[(rf"(?i)\b((?:{ct.CODE_WORDS})\b[^0-9\n]{{0,12}})\d{{{n}}}\b", r"\1" + "X" * n) for n in range(8, 3, -1)],
 ]
-_masked = "message"
-for _p, _r in _MASKS:
-    _masked = f"regexp_replace({_masked}, '{_p}', '{_r}', 'g')"
+
+
+def masked_sql(column: str) -> str:
+    for pattern, by in _MASKS:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return column
+
+
 
 ORACLES = {
     "report_overview": _M + f"""
@@ -156,7 +161,7 @@ r AS (SELECT *, sum(changed::INT) OVER (PARTITION BY chat_id ORDER BY msg_id) AS
 SELECT chat_id, msg_id, sender, in_run FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, run ORDER BY msg_id) AS in_run FROM r) WHERE in_run <= 3""",
     "report_page": _M + "SELECT chat_id, msg_id, date, sender, left(message, 200) AS text FROM m ORDER BY chat_id, msg_id LIMIT 50 OFFSET 50",
     "report_search": _M + "SELECT chat_id, msg_id, date, sender, left(message, 200) AS text FROM m WHERE contains(lower(message), 'night') ORDER BY chat_id, msg_id LIMIT 100",
-    "text_masked": _M + f"SELECT * FROM (SELECT chat_id, msg_id, {_masked} AS masked, message FROM m) t WHERE masked <> message".replace("SELECT * FROM", "SELECT chat_id, msg_id, masked FROM"),
+    "text_masked": _M + f"SELECT * FROM (SELECT chat_id, msg_id, {masked_sql("message")} AS masked, message FROM m) t WHERE masked <> message".replace("SELECT * FROM", "SELECT chat_id, msg_id, masked FROM"),
     "text_quality": _M + f"SELECT chat_id, CASE WHEN message = '' THEN 0.0 WHEN {_BOILER} THEN 0.1 WHEN {_LEN} < 3 THEN 0.5 ELSE 1.0 END::DOUBLE AS quality, count(*) AS n FROM m GROUP BY ALL",
     "text_questions": _TOKENS + f" SELECT chat_id, msg_id FROM tk WHERE contains(message, '?') OR coalesce(tokens[1] IN {_in(ct.INTERROGATIVES)}, false)",
     "text_short_answers": _TOKENS + f""", f AS (SELECT chat_id, msg_id, len(tokens) AS n, coalesce(map_extract_value(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in ct.CANONICAL.items())}}}, tokens[1]), tokens[1]) AS first FROM tk)

@@ -78,3 +78,9 @@ def checked_broadcast(df: DataFrame, rows: int, max_rows: int = 200_000) -> Data
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns whose names begin with `_` renamed, and the way back: operators keep such names for themselves."""
+    back = {f"kept__{i}": c for i, c in enumerate(df.columns) if c.startswith("_")}
+    return df.withColumnsRenamed({c: k for k, c in back.items()}), back
