@@ -58,11 +58,13 @@ def rare_seeds(items: DataFrame, hits: DataFrame, item: str, n: int = NGRAM, wor
     """
     counts = hits.groupBy("gram").count()
     grams = _positions(items, item, n, "gram", "item_at").join(counts, "gram", "left")
-    rarity = F.struct(F.coalesce("count", F.lit(0)).alias("count"), F.col("item_at"), F.col("gram"))
+    # an n-gram that no document holds leads nowhere: it comes last
+    never = F.lit(2**62)
+    rarity = F.struct(F.coalesce("count", never).alias("count"), F.col("item_at"), F.col("gram"))
     window = Window.partitionBy(item).orderBy("item_at").rowsBetween(0, words - n)
     last = F.max("item_at").over(Window.partitionBy(item))
     whole = F.col("item_at") <= F.greatest(last - (words - n), F.lit(0))
-    best = grams.select(item, F.min(rarity).over(window).alias("best"), whole.alias("whole")).filter("whole")
+    best = grams.select(item, F.min(rarity).over(window).alias("best"), whole.alias("whole")).filter(F.col("whole") & (F.col("best.count") < never))
     return best.select(item, F.col("best.item_at").alias("item_at"), F.col("best.gram").alias("gram")).distinct()
 
 
