@@ -47,11 +47,12 @@ def test_what_names_no_instant(spark):
 
 
 def test_order_from_the_source_itself(spark):
-    # one date over 12 settles the order of its source; a source of dates that all read both ways stays open
-    stamps = [(4, "05/06/2024", "10:00"), (4, "05/13/2024", "10:00"), (5, "04/06/2024", "10:00"), (5, "05/06/2024", "10:00"), (4, "07/07/2024", "10:00")]
-    got = resolved(spark, stamps)
-    assert got[0] == ("resolved", utc(2024, 5, 6, 8)) and got[4][0] == "resolved"
-    assert [s for s, _ in got[2:4]] == ["order_open", "order_open"]
+    # one date over 12 settles the order of its source, days in a row do too; a lone date that reads both ways stays open
+    stamps = [(4, "05/06/2024", "10:00"), (4, "05/13/2024", "10:00"), (4, "07/07/2024", "10:00"), (5, "04/06/2024", "10:00"), *[(6, f"0{d}/09/2024", "10:00Z") for d in range(1, 8)]]
+    got = resolved(spark, stamps, [*SET, (6, None, None, AT)])
+    assert got[0] == ("resolved", utc(2024, 5, 6, 8)) and got[2][0] == "resolved"
+    assert got[3][0] == "order_open"
+    assert got[4:] == [("resolved", utc(2024, 9, d, 10)) for d in range(1, 8)]
 
 
 def test_empty_and_clashing_columns(spark):
