@@ -232,3 +232,33 @@ def page(m: DataFrame, number: int = 2, size: int = 50, sender: str | None = Non
         m = m.filter(F.contains(F.lower("message"), F.lit(text.lower())))
     size = min(max(size, 10), 100)
     return m.orderBy("chat_id", "msg_id").offset((max(number, 1) - 1) * size).limit(size).select("chat_id", "msg_id", "date", "sender", F.substring("message", 1, 200).alias("text"))
+
+
+def persona(m: DataFrame) -> DataFrame:
+    """A chat in a row: messages, peak hour, night share, most used emojis and words in order, fastest mean reply, messages of the busiest day."""
+    listed = lambda df, name, k: df.filter(F.col("rank") <= k).groupBy("chat_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", name))), lambda x: x[name]).alias(f"{name}s"))
+    replies_of = response_stats(m).filter("average_minutes > 0").groupBy("chat_id").agg(F.min("average_minutes").alias("fastest_average"))
+    parts = [night_share(m), listed(top_emojis(m), "emoji", 5), listed(top_words(m), "word", 8), replies_of, biggest_day(m).select("chat_id", F.col("messages").alias("busiest_day"))]
+    out = m.groupBy("chat_id").agg(F.count("*").alias("total_messages"))
+    for p in parts:
+        out = out.join(p, "chat_id", "left")
+    return out
+
+
+def highlights(m: DataFrame) -> DataFrame:
+    """Statements that a chat is strong enough for, as rows of chat_id, statement, value; they never hold a name."""
+    totals = m.groupBy("chat_id").agg(F.count("*").alias("n"))
+    gates = [
+        ("night_owls", night_share(m).join(totals, "chat_id").filter("n >= 100 AND night_percent >= 20"), "night_percent"),
+        ("streak", streaks(m).filter("days >= 7"), "days"),
+        ("big_day", biggest_day(m).filter("messages >= 50"), "messages"),
+        ("quick_reply", fastest_response(m).withColumn("s", F.floor(F.col("gap_minutes") * 60 + 0.5)).filter("s BETWEEN 1 AND 300"), "s"),
+        ("emoji", top_emojis(m, 1).filter("n >= 50"), "n"),
+        ("words", top_words(m, 1).filter("total_words >= 1000"), "total_words"),
+        ("span", overview(m).filter("duration_days >= 30"), "duration_days"),
+    ]
+    rows = [df.select("chat_id", F.lit(name).alias("statement"), F.col(value).cast("bigint").alias("value")) for name, df, value in gates]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

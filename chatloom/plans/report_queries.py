@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
-from chatloom.operators import report
+from chatloom.operators import answers, report
 from chatloom.session import table
 
 
@@ -40,6 +40,12 @@ QUERIES = {
     "report_floods_collapsed": _on_messages(report.collapse_floods),
     "report_page": _on_messages(report.page),
     "report_search": _on_messages(lambda m: report.page(m, 1, 100, text="night")),
+    "report_persona": _on_messages(report.persona),
+    "report_highlights": _on_messages(report.highlights),
+    "answer_who_talks_most": _on_messages(lambda m: answers.answer(m, "Who talks the most?")),
+    "answer_longer_messages": _on_messages(lambda m: answers.answer(m, "Who sends longer messages?").drop("rank")),
+    "answer_reply_speed": _on_messages(lambda m: answers.answer(m, "Who is quickest to reply?")),
+    "text_question_kinds": _on_messages(lambda m: m.groupBy("chat_id", answers.question_kind(F.col("message")).alias("kind")).agg(F.count("*").alias("n")).filter("kind IS NOT NULL")),
     "text_masked": _on_messages(lambda m: m.select("chat_id", "msg_id", ct.masked(F.col("message")).alias("masked")).filter(F.col("masked") != m["message"])),
     "text_quality": _on_messages(lambda m: m.groupBy("chat_id", ct.quality(F.col("message")).alias("quality")).agg(F.count("*").alias("n"))),
     "text_questions": _on_messages(lambda m: m.filter(ct.is_question(F.col("message"))).select("chat_id", "msg_id")),
@@ -167,3 +173,21 @@ SELECT chat_id, msg_id, sender, in_run FROM (SELECT *, row_number() OVER (PARTIT
     "text_short_answers": _TOKENS + f""", f AS (SELECT chat_id, msg_id, len(tokens) AS n, coalesce(map_extract_value(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in ct.CANONICAL.items())}}}, tokens[1]), tokens[1]) AS first FROM tk)
 SELECT chat_id, msg_id, CASE WHEN first IN {_in(ct.AFFIRMATIVE)} THEN 1 ELSE -1 END AS answer FROM f WHERE n BETWEEN 1 AND 3 AND (first IN {_in(ct.AFFIRMATIVE)} OR first IN {_in(ct.NEGATIVE)})""",
 }
+_with = lambda name: ORACLES[name]
+ORACLES |= {
+    "answer_who_talks_most": ORACLES["report_most_talkative"],
+    "answer_longer_messages": "SELECT * FROM (" + ORACLES["report_length_by_person"] + ") QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY average_length DESC, sender) = 1",
+    "answer_reply_speed": ORACLES["report_response_stats"],
+    "text_question_kinds": _M + """, k AS (SELECT chat_id, CASE WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:how many|how much|count)(?:[^a-z]|$)') THEN 'count' WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:when|what time|how long)(?:[^a-z]|$)') THEN 'time'
+ WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:who|whose)(?:[^a-z]|$)') THEN 'person' WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:why|how come)(?:[^a-z]|$)') THEN 'reason' ELSE 'other' END AS kind FROM m WHERE contains(message, '?'))
+SELECT chat_id, kind, count(*) AS n FROM k GROUP BY ALL""",
+    "report_persona": f"""WITH t AS ({_with("report_length_by_person")}), n AS ({_with("report_night_share")}), e AS ({_with("report_top_emojis")}), w AS ({_with("report_top_words")}), r AS ({_with("report_response_stats")}), b AS ({_with("report_biggest_day")})
+SELECT c.chat_id, c.total_messages, n.night_percent, n.peak_hour, e.emojis, w.words, r.fastest_average, b.messages AS busiest_day FROM (SELECT chat_id, sum(messages)::BIGINT AS total_messages FROM t GROUP BY ALL) c
+LEFT JOIN n USING (chat_id) LEFT JOIN (SELECT chat_id, list(emoji ORDER BY rank) AS emojis FROM e WHERE rank <= 5 GROUP BY ALL) e USING (chat_id) LEFT JOIN (SELECT chat_id, list(word ORDER BY rank) AS words FROM w WHERE rank <= 8 GROUP BY ALL) w USING (chat_id)
+LEFT JOIN (SELECT chat_id, min(average_minutes) AS fastest_average FROM r WHERE average_minutes > 0 GROUP BY ALL) r USING (chat_id) LEFT JOIN b USING (chat_id)""",
+    "report_highlights": f"""WITH o AS ({_with("report_overview")}), n AS ({_with("report_night_share")}), s AS ({_with("report_streaks")}), b AS ({_with("report_biggest_day")}), f AS ({_with("report_fastest_response")}), e AS ({_with("report_top_emojis")}), w AS ({_with("report_top_words")})
+SELECT chat_id, 'night_owls' AS statement, night_percent::BIGINT AS value FROM n JOIN o USING (chat_id) WHERE total_messages >= 100 AND night_percent >= 20
+UNION ALL SELECT chat_id, 'streak', days::BIGINT FROM s WHERE days >= 7 UNION ALL SELECT chat_id, 'big_day', messages::BIGINT FROM b WHERE messages >= 50
+UNION ALL SELECT chat_id, 'quick_reply', floor(gap_minutes * 60 + 0.5)::BIGINT FROM f WHERE floor(gap_minutes * 60 + 0.5) BETWEEN 1 AND 300 UNION ALL SELECT chat_id, 'emoji', n::BIGINT FROM e WHERE rank = 1 AND n >= 50
+UNION ALL SELECT chat_id, 'words', total_words::BIGINT FROM w WHERE rank = 1 AND total_words >= 1000 UNION ALL SELECT chat_id, 'span', duration_days::BIGINT FROM o WHERE duration_days >= 30""",
+}
