@@ -32,11 +32,18 @@ def _let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with columns as a generated row: each is computed once, however often later steps use it, since Spark doesn't unfold a
+    generator into them as it would unfold a projection."""
+    old = [c for c in df.columns if c not in columns]
+    return df.select(*old, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def order_posteriors(
     numbers: DataFrame,
     exports: DataFrame,
     source: str,
-    iterations: int = 30,
+    iterations: int = 12,
     strength: float = 20.0,
     against: float = 7.0,
     background: float = 3e-7,
@@ -44,7 +51,7 @@ def order_posteriors(
 ) -> DataFrame:
     """Posterior of each date order per `source` and set of valid orders.
 
-    `numbers` has `source` and n1, n2, n3; `exports` has `source` and `_exported_day`. The density of an order is
+    `numbers` has `source` and n1, n2, n3; `exports` has `source`, `_exported_day` and `_order`, the stated order or null; sources that state one have no row in the result. The density of an order is
     uniform over its days and falls with their mean age at the export, by e for each `age_days`; an order
     whose days lie after the export on the whole has next to none. Result: `source`, `_em_posterior` ARRAY<STRUCT<dmy,mdy,ymd>>, at
     index m the posterior of a value that is a real date under the orders in bit mask m. A source
@@ -58,7 +65,9 @@ def order_posteriors(
         F.array(*[F.max(f"_{o}") - F.min(f"_{o}") + 1 for o in ORDERS]).alias("_span"),
         F.array(*[F.avg(f"_{o}") for o in ORDERS]).alias("_mean"),
     )
-    state = state.join(exports.select(source, "_exported_day"), source, "left")
+    # only sources that don't state their order need the iterations
+    stated = F.coalesce(F.col("_order").isin(*ORDERS), F.lit(False))
+    state = state.join(exports.select(source, "_exported_day", "_order"), source, "left").filter(~stated)
     age = lambda mean: F.coalesce(F.col("_exported_day") - mean, F.lit(0.0))
     fit = lambda mean: F.exp(-F.abs(age(mean)) / F.when(age(mean) < -2, age_days / 100).otherwise(age_days))
     density = F.zip_with(F.col("_span"), F.col("_mean"), lambda span, mean: F.coalesce(fit(mean) / span, F.lit(0.0)))
@@ -114,18 +123,18 @@ def resolve_instants(
     known = exports.dropDuplicates([source]).select(
         F.col(source).alias("_src"), F.col(zone).alias("_zone"), F.col(order).alias("_order"), F.unix_date(F.col(exported).cast("date")).alias("_exported_day")
     )
-    parsed = rows.withColumns({"_d": stamps.clean_stamp(F.col(date)), "_t": stamps.clean_stamp(F.col(time)), "_src": F.col(source)})
-    parsed = parsed.withColumn("_shape", stamps.date_shape(F.col("_d")))
-    parsed = parsed.withColumns({"_dp": stamps.date_parts(F.col("_d"), F.col("_shape")), "_tp": stamps.clock_parts(F.col("_t"))})
+    parsed = _settled(rows, {"_d": stamps.clean_stamp(F.col(date)), "_t": stamps.clean_stamp(F.col(time))})
+    parsed = _settled(parsed, {"_shape": stamps.date_shape(F.col("_d")), "_src": F.col(source)})
+    parsed = _settled(parsed, {"_dp": stamps.date_parts(F.col("_d"), F.col("_shape")), "_tp": stamps.clock_parts(F.col("_t"))})
     number = lambda i: F.when(F.col("_shape") == "numeric", F.col("_dp")[i].try_cast("int"))
-    parsed = parsed.withColumns({"_n1": number(0), "_n2": number(1), "_n3": number(2)})
+    parsed = _settled(parsed, {"_n1": number(0), "_n2": number(1), "_n3": number(2)})
     slim = parsed.select("_src", F.col("_n1").alias("n1"), F.col("_n2").alias("n2"), F.col("_n3").alias("n3"))
     post = order_posteriors(slim, known, "_src")
     # one row of fixed size for each source; the size of `exports` is counted, not assumed
     context = checked_broadcast(known.join(post, "_src", "left"), exports.count())
     df = parsed.join(context, "_src", "left")
 
-    df = df.withColumns({f"_day_{o}": v for o, v in stamps.ordered_days(F.col("_n1"), F.col("_n2"), F.col("_n3")).items()})
+    df = _settled(df, {f"_day_{o}": v for o, v in stamps.ordered_days(F.col("_n1"), F.col("_n2"), F.col("_n3")).items()})
     df = df.withColumn("_mask", _mask({o: F.col(f"_day_{o}") for o in ORDERS}))
     df = df.withColumn("_p", F.coalesce(F.col("_em_posterior")[F.col("_mask")], F.struct(*[F.lit(0.0).alias(o) for o in ORDERS])))
     best = F.greatest(*[F.col("_p")[o] for o in ORDERS])
@@ -135,11 +144,12 @@ def resolve_instants(
     best = sum((F.when(F.col(f"_day_{o}") == guessed, F.col("_p")[o]).otherwise(0.0) for o in ORDERS), F.lit(0.0))
     stated = F.col("_order").isin(*ORDERS)
     numeric = F.coalesce(F.col("_shape") == "numeric", F.lit(False))
-    df = df.withColumns(
+    df = _settled(
+        df,
         {
             "stamp_order": F.when(numeric, F.when(stated, F.col("_order")).when((F.col("_mask") > 0) & (best >= certain), guess)),
             "stamp_confidence": F.when(numeric, F.when(stated, 1.0).otherwise(best)).when(F.col("_shape").isNotNull(), 1.0),
-        }
+        },
     )
     iso = F.coalesce(F.col("_shape") == "iso", F.lit(False))
     count = F.coalesce(F.col("_shape") == "count", F.lit(False))
@@ -149,20 +159,20 @@ def resolve_instants(
     # the parts of the clock, from the date where it holds them
     clock = F.when(iso, F.array(F.col("_dp")[3], F.col("_dp")[4], F.col("_dp")[5], F.lit(""), F.col("_dp")[6])).otherwise(F.col("_tp"))
     stated_zone = F.when(iso & (F.col("_dp")[6] == ""), F.coalesce(F.col("_tp")[4], F.lit(""))).otherwise(clock[4])
-    df = df.withColumns({"_day": day, "_clock": clock, "_z": stated_zone})
+    df = _settled(df, {"_day": day, "_clock": clock, "_z": stated_zone})
     part = lambda i: F.col("_clock")[i].try_cast("int")
-    df = df.withColumns({"_second": stamps.second_of_day(part(0), part(1), part(2), F.col("_clock")[3]), "_offset": F.when(F.col("_z") != "", stamps.offset_seconds(F.col("_z")))})
+    df = _settled(df, {"_second": stamps.second_of_day(part(0), part(1), part(2), F.col("_clock")[3]), "_offset": F.when(F.col("_z") != "", stamps.offset_seconds(F.col("_z")))})
     # a zone that is written but unknown makes the time unreadable
     df = df.withColumn("_second", F.when((F.col("_z") == "") | F.col("_offset").isNotNull(), F.col("_second")))
-    df = df.withColumn("_wall", F.col("_day") * 86400 + F.col("_second"))
+    df = _settled(df, {"_wall": F.col("_day") * 86400 + F.col("_second")})
     zoned = F.col("_offset").isNull() & F.col("_wall").isNotNull() & F.col("_zone").isNotNull()
     early = F.when(zoned, stamps.zone_offset(F.col("_zone"), F.col("_wall") - 86400))
     late = F.when(zoned, stamps.zone_offset(F.col("_zone"), F.col("_wall") + 86400))
-    df = df.withColumns({"_o1": early, "_o2": late})
+    df = _settled(df, {"_o1": early, "_o2": late})
     # a wall time near a change of the clock: an offset holds if the zone has it at that instant
     near = F.col("_o1") != F.col("_o2")
     holds = lambda o: F.when(~near, F.lit(True)).otherwise(stamps.zone_offset(F.col("_zone"), F.col("_wall") - F.col(o)) == F.col(o))
-    df = df.withColumns({"_h1": F.when(zoned, holds("_o1")), "_h2": F.when(zoned, holds("_o2"))})
+    df = _settled(df, {"_h1": F.when(zoned, holds("_o1")), "_h2": F.when(zoned, holds("_o2"))})
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     written = F.when(F.length("_d") >= 12, F.floor(F.col("_d").try_cast("bigint") / 1000)).otherwise(F.col("_d").try_cast("bigint"))
     status = (
