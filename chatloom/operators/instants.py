@@ -27,6 +27,11 @@ def _mask(days: dict[str, Column]) -> Column:
     return sum((F.when(days[o].isNotNull(), 1 << i).otherwise(0) for i, o in enumerate(ORDERS)), F.lit(0))
 
 
+def _possible(days: dict[str, Column], exported: Column) -> dict[str, Column]:
+    """Days that don't lie after the export; two days' grace for zones and clocks."""
+    return {o: F.when(exported.isNull() | (day <= exported + 2), day) for o, day in days.items()}
+
+
 def _let(value: Column, fn) -> Column:
     """`fn` of a value that is computed once."""
     return F.transform(F.array(value), fn)[0]
@@ -43,6 +48,7 @@ def order_posteriors(
     numbers: DataFrame,
     exports: DataFrame,
     source: str,
+    n_exports: int,
     iterations: int = 12,
     strength: float = 20.0,
     against: float = 7.0,
@@ -57,17 +63,19 @@ def order_posteriors(
     index m the posterior of a value that is a real date under the orders in bit mask m. A source
     without such values has no row.
     """
-    days = stamps.ordered_days(F.col("n1"), F.col("n2"), F.col("n3"))
-    seen = numbers.filter(F.col("n1").isNotNull()).select(source, *[v.alias(f"_{k}") for k, v in days.items()])
+    # only sources that don't state their order need counts and iterations
+    stated = F.coalesce(F.col("_order").isin(*ORDERS), F.lit(False))
+    context = checked_broadcast(exports.select(source, "_exported_day", "_order"), n_exports)
+    seen = numbers.filter(F.col("n1").isNotNull()).join(context, source, "left").filter(~stated)
+    days = _possible(stamps.ordered_days(F.col("n1"), F.col("n2"), F.col("n3")), F.col("_exported_day"))
+    seen = _settled(seen.select(source, "n1", "n2", "n3", "_exported_day"), {f"_{k}": v for k, v in days.items()})
     seen = seen.withColumn("_mask", _mask({o: F.col(f"_{o}") for o in ORDERS}))
     state = seen.groupBy(source).agg(
         F.array(*[F.count_if(F.col("_mask") == m) if m else F.lit(0) for m in range(8)]).alias("_n"),
         F.array(*[F.max(f"_{o}") - F.min(f"_{o}") + 1 for o in ORDERS]).alias("_span"),
         F.array(*[F.avg(f"_{o}") for o in ORDERS]).alias("_mean"),
+        F.max("_exported_day").alias("_exported_day"),
     )
-    # only sources that don't state their order need the iterations
-    stated = F.coalesce(F.col("_order").isin(*ORDERS), F.lit(False))
-    state = state.join(exports.select(source, "_exported_day", "_order"), source, "left").filter(~stated)
     age = lambda mean: F.coalesce(F.col("_exported_day") - mean, F.lit(0.0))
     fit = lambda mean: F.exp(-F.abs(age(mean)) / F.when(age(mean) < -2, age_days / 100).otherwise(age_days))
     density = F.zip_with(F.col("_span"), F.col("_mean"), lambda span, mean: F.coalesce(fit(mean) / span, F.lit(0.0)))
@@ -129,13 +137,14 @@ def resolve_instants(
     number = lambda i: F.when(F.col("_shape") == "numeric", F.col("_dp")[i].try_cast("int"))
     parsed = _settled(parsed, {"_n1": number(0), "_n2": number(1), "_n3": number(2)})
     slim = parsed.select("_src", F.col("_n1").alias("n1"), F.col("_n2").alias("n2"), F.col("_n3").alias("n3"))
-    post = order_posteriors(slim, known, "_src")
     # one row of fixed size for each source; the size of `exports` is counted, not assumed
-    context = checked_broadcast(known.join(post, "_src", "left"), exports.count())
+    n_exports = exports.count()
+    post = order_posteriors(slim, known, "_src", n_exports)
+    context = checked_broadcast(known.join(post, "_src", "left"), n_exports)
     df = parsed.join(context, "_src", "left")
 
     df = _settled(df, {f"_day_{o}": v for o, v in stamps.ordered_days(F.col("_n1"), F.col("_n2"), F.col("_n3")).items()})
-    df = df.withColumn("_mask", _mask({o: F.col(f"_day_{o}") for o in ORDERS}))
+    df = _settled(df, {"_mask": _mask(_possible({o: F.col(f"_day_{o}") for o in ORDERS}, F.col("_exported_day")))})
     df = df.withColumn("_p", F.coalesce(F.col("_em_posterior")[F.col("_mask")], F.struct(*[F.lit(0.0).alias(o) for o in ORDERS])))
     best = F.greatest(*[F.col("_p")[o] for o in ORDERS])
     guess = F.when(best == F.col("_p.dmy"), "dmy").when(best == F.col("_p.mdy"), "mdy").otherwise("ymd")
