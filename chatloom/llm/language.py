@@ -79,10 +79,9 @@ class ContextTrees:
             key = contexts[order][there] << np.int64(8) | data[there].astype(np.int64)
             keys, at = np.unique(key, return_inverse=True)
             counts = np.bincount(at * width + lang[there], minlength=len(keys) * width).reshape(-1, width).astype(np.float64)
-            ctx, ctx_at = np.unique(keys >> np.int64(8), return_inverse=True)
-            total, kinds = np.zeros((len(ctx), width)), np.zeros((len(ctx), width))
-            np.add.at(total, ctx_at, counts)
-            np.add.at(kinds, ctx_at, counts > 0)
+            # keys are in order, so those of one context lie together
+            ctx, begins, ctx_at = np.unique(keys >> np.int64(8), return_index=True, return_inverse=True)
+            total, kinds = np.add.reduceat(counts, begins, axis=0), np.add.reduceat((counts > 0).astype(np.float64), begins, axis=0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
                 direct = -np.log2(counts / (total + kinds)[ctx_at])
@@ -129,7 +128,7 @@ def _locate(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at] == wanted, at
 
 
-def fit_languages(rows: DataFrame, text: str, label: str, sample_rows: int = 40_000, rounds: int = 2) -> ContextTrees:
+def fit_languages(rows: DataFrame, text: str, label: str, sample_rows: int = 15_000, rounds: int = 2) -> ContextTrees:
     """Trees from at most about `sample_rows` labelled lines, chosen by a hash of the text.
 
     The fit alone is bounded; scoring reads every row. Labels are partly wrong: after each round only lines whose label the
@@ -140,13 +139,15 @@ def fit_languages(rows: DataFrame, text: str, label: str, sample_rows: int = 40_
     lines = lines.filter(F.size(F.split(F.trim("t"), r"\s+")) >= 3)
     total = lines.count()
     share = min(1.0, sample_rows / max(total, 1))
-    picked = lines.filter(F.pmod(F.xxhash64("t", "l"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample_rows)
-    got = picked.toPandas()
+    # by the text alone, so that all labels a text was given come together; the most frequent one speaks for it
+    picked = lines.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
+    got = picked.groupBy("t", "l").count().limit(2 * sample_rows).toPandas()
+    got = got.sort_values(["t", "count", "l"], ascending=[True, False, True]).drop_duplicates("t")
     texts, labels = [letters_only(t) for t in got["t"]], list(got["l"])
     if not texts:
         return ContextTrees([], [], [], [], [])
     known = sorted(set(labels))
-    half = np.arange(len(texts)) % 2
+    half = np.random.default_rng(7).permutation(len(texts)) % 2
     sure = np.ones(len(texts), dtype=bool)
     for _ in range(rounds):
         # each half is judged by trees of the other, so that no line vouches for its own label
