@@ -1,7 +1,7 @@
 """The activity report over many chats at once; every function is one lazy DataFrame per section.
 
 Input `m`: one row per message (see `chat_messages`). Counts aggregate in the tasks before they shuffle; whatever needs the
-message before goes through operators.adjacent, so no task holds a chat. Ties follow the reference: first appearance first.
+message before goes through operators.adjacent, so no task holds a chat. Of equals what appeared first comes first.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from chatloom.operators.adjacent import running_count, with_previous
 def chat_messages(rows: DataFrame) -> DataFrame:
     """One row per message: of stored copies the first loaded; notices and rows without sender left out; null text as empty."""
     kept = rows.filter(~F.coalesce(F.col("is_system"), F.lit(False)) & F.col("sender").isNotNull())
-    first = kept.groupBy("chat_id", "msg_id").agg(F.min(F.struct("row_id", "date", "ts", "sender", "message"))["row_id"].alias("row_id"), F.min_by(F.struct("date", "ts", "sender", "message"), "row_id").alias("_m"))
+    first = kept.groupBy("chat_id", "msg_id").agg(F.min("row_id").alias("row_id"), F.min_by(F.struct("date", "ts", "sender", "message"), "row_id").alias("_m"))
     return first.select("chat_id", "msg_id", "row_id", "_m.date", "_m.ts", "_m.sender", F.coalesce("_m.message", F.lit("")).alias("message"))
 
 
