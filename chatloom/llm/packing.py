@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Rows of a bucket that are numbered in one task at most, roughly; the fullest bucket sets the number of salts.
+GROUP_ROWS = 1_000_000
 #: How the byte-level vocabulary cuts a text before merging; fixed with the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -135,6 +137,7 @@ def _pack_one(docs: DataFrame, use: str, capacity: int, key: str, size: str, buc
     at = np.searchsorted(bounds, lengths) if bounds else np.array([], dtype=int)
     per_bucket = [int(counts[at == b].sum()) for b in range(len(bounds))]
     plan = plan_batches(bounds, per_bucket, capacity)
+    salts = max(salts, -(-max(per_bucket, default=0) // GROUP_ROWS))
 
     # container number = first of its kind + place among its copies; place = (rank - first rank of the kind) div slots
     lines, rank_from, container = [], [0] * len(bounds), 0
