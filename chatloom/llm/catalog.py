@@ -37,20 +37,23 @@ def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(messages.select("row_id", "message"), "message", trees).select("row_id", F.col("detected").alias("lang"), "confidence")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, facts = table(spark, sf_dir, "messages"), table(spark, sf_dir, "person_facts")
-    names = pii.known_given_names(messages)
-    both = messages.select(F.lit("messages").alias("tbl"), F.col("row_id").alias("id"), F.col("message").alias("text")).unionByName(
+    return messages.select(F.lit("messages").alias("tbl"), F.col("row_id").alias("id"), F.col("message").alias("text")).unionByName(
         facts.select(F.lit("person_facts").alias("tbl"), F.col("fact_id").alias("id"), F.col("evidence").alias("text"))
     )
-    items = pii.find_pii(both, "text", names).select("tbl", "id", F.explode(F.array_distinct(F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["piece"].alias("piece"))))).alias("item"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = pii.known_given_names(table(spark, sf_dir, "messages"))
+    items = pii.find_pii(_personal_texts(spark, sf_dir), "text", names).select("tbl", "id", F.explode(F.array_distinct(F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["piece"].alias("piece"))))).alias("item"))
     return items.select("tbl", "id", "item.kind", "item.piece")
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence with typed placeholders."""
+    """Every message and every piece of evidence, whole, with typed placeholders."""
     names = pii.known_given_names(table(spark, sf_dir, "messages"))
-    return pii.redact_column(table(spark, sf_dir, "person_facts"), "evidence", names).select("fact_id", "evidence_redacted")
+    return pii.redact_column(_personal_texts(spark, sf_dir), "text", names).select("tbl", "id", "text_redacted")
 
 
 def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
