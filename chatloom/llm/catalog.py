@@ -15,8 +15,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sender in its one form."""
-    return lookalike.normalise(table(spark, sf_dir, "messages").select("row_id", "sender"), ["sender"]).select("row_id", "sender_normal")
+    """Every time, sender and message in its one form."""
+    fields = ["time", "sender", "message"]
+    return lookalike.normalise(table(spark, sf_dir, "messages"), fields).select("row_id", *[f"{f}_normal" for f in fields])
 
 
 def _scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

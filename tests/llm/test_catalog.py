@@ -16,3 +16,10 @@ def test_both_texts_are_redacted(spark, tmp_path):
         ("messages", 1): "call [PHONE] now", ("messages", 2): "nothing here", ("messages", 3): None, ("messages", 4): "",
         ("person_facts", 1): "mail [EMAIL]", ("person_facts", 2): None,
     }
+
+
+def test_all_fields_come_out_in_one_form(spark, tmp_path):
+    messages = [(1, "１２：３０", "Ｈi", "Ivо says"), (2, "12:30", "Hi", "ivo says"), (3, None, None, None), (4, "", " ", "")]
+    at = write(spark, tmp_path, messages=(messages, "row_id BIGINT, time STRING, sender STRING, message STRING"))
+    got = {r["row_id"]: (r["time_normal"], r["sender_normal"], r["message_normal"]) for r in catalog.p2_normalised(spark, at).collect()}
+    assert got == {1: ("12:30", "hi", "ivo says"), 2: ("12:30", "hi", "ivo says"), 3: (None, None, None), 4: ("", "", "")}
