@@ -38,6 +38,14 @@ def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(messages.select("row_id", "message"), "message", trees).select("row_id", F.col("detected").alias("lang"), "confidence")
 
 
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each line of each message, however short, with its confidence; a line without letters has neither."""
+    messages = table(spark, sf_dir, "messages")
+    trees = language.fit_languages(messages, "message", "lang")
+    lines = language.message_lines(messages.select("row_id", "message"))
+    return language.detect(lines, "line", trees).select("row_id", "line_no", F.col("detected").alias("lang"), "confidence")
+
+
 def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, facts = table(spark, sf_dir, "messages"), table(spark, sf_dir, "person_facts")
     return messages.select(F.lit("messages").alias("tbl"), F.col("row_id").alias("id"), F.col("message").alias("text")).unionByName(
@@ -114,6 +122,6 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_normalised, p4_found, p4_messages, p5_found, p5_redacted, p6_found, p6_turns, p8_packed, p8_fill, p9_found, p9_scores, p10_found, p10_statistics)
+    for f in (p2_found, p2_normalised, p4_found, p4_lines, p4_messages, p5_found, p5_redacted, p6_found, p6_turns, p8_packed, p8_fill, p9_found, p9_scores, p10_found, p10_statistics)
 }
 ORACLES: dict[str, str] = {}

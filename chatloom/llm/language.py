@@ -129,7 +129,7 @@ def _locate(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit_languages(rows: DataFrame, text: str, label: str, sample_rows: int = 15_000, rounds: int = 2) -> ContextTrees:
-    """Trees from at most about `sample_rows` labelled lines, chosen by a hash of the text.
+    """Trees from at most about `sample_rows` different labelled lines, chosen by a hash of the text.
 
     The fit alone is bounded; scoring reads every row. Labels are partly wrong: after each round only lines whose label the
     trees confirm stay. Lines without label, or with fewer than three words, take no part. Without labelled
@@ -137,12 +137,13 @@ def fit_languages(rows: DataFrame, text: str, label: str, sample_rows: int = 15_
     """
     lines = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.explode(F.split(text, r"\r\n|[\r\n\x{85}\x{2028}\x{2029}]")).alias("t"), F.col(label).alias("l"))
     lines = lines.filter(F.size(F.split(F.trim("t"), r"\s+")) >= 3)
-    total = lines.count()
+    # of different texts, over all labels: neither copies nor the labels that copies add make the sample smaller
+    total = lines.agg(F.approx_count_distinct("t", 0.01)).first()[0]
     share = min(1.0, sample_rows / max(total, 1))
     # by the text alone, so that all labels a text was given come together; the most frequent one speaks for it
     picked = lines.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = picked.groupBy("t", "l").count().limit(2 * sample_rows).toPandas()
-    got = got.sort_values(["t", "count", "l"], ascending=[True, False, True]).drop_duplicates("t")
+    spoken = picked.groupBy("t", "l").count().groupBy("t").agg(F.min_by("l", F.struct(-F.col("count"), F.col("l"))).alias("l"))
+    got = spoken.limit(2 * sample_rows).toPandas().sort_values("t")
     texts, labels = [letters_only(t) for t in got["t"]], list(got["l"])
     if not texts:
         return ContextTrees([], [], [], [], [])
