@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
 from chatloom.operators.adjacent import running_count, with_previous
+from chatloom.operators.instants import resolve_instants
 
 
 
@@ -21,6 +22,28 @@ def chat_messages(rows: DataFrame) -> DataFrame:
     return first.select("chat_id", "msg_id", "row_id", "_m.date", "_m.ts", "_m.sender", F.coalesce("_m.message", F.lit("")).alias("message"))
 
 
+def dated_chat_messages(rows: DataFrame, exports: DataFrame) -> DataFrame:
+    """`chat_messages` with `ts` from the minute, in UTC, that any copy's stamp names; `dated_by` tells how.
+
+    `instant` is such a minute; `ts`, where no copy names an instant, the old parser's wall time of the first copy that has one; null neither.
+    """
+    kept = rows.filter(~F.coalesce(F.col("is_system"), F.lit(False)) & F.col("sender").isNotNull())
+    at = resolve_instants(kept.select("chat_id", "msg_id", "row_id", "export_id", "date", "time", "ts"), exports)
+    old = F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("row_id"))).cast("timestamp_ntz").alias("_old")
+    times = at.groupBy(F.col("chat_id").alias("_chat"), F.col("msg_id").alias("_msg")).agg(F.min(F.floor(F.col("utc_second") / 60)).alias("_minute"), old)
+    instant = F.expr("cast(make_date(1970, 1, 1) AS timestamp_ntz) + make_dt_interval(0, 0, 0, _minute * 60)")
+    m = chat_messages(rows)
+    both = m.join(times, m["chat_id"].eqNullSafe(F.col("_chat")) & m["msg_id"].eqNullSafe(F.col("_msg")))
+    how = F.when(F.col("_minute").isNotNull(), "instant").when(F.col("_old").isNotNull(), "ts")
+    return both.withColumns({"ts": F.coalesce(instant, F.col("_old")), "dated_by": how}).drop("_chat", "_msg", "_minute", "_old")
+
+
+def coverage(m: DataFrame) -> DataFrame:
+    """How many messages of each chat the sections by time count, and how many they leave out for want of a time."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    return m.groupBy("chat_id").agg(F.count("*").alias("messages"), n(F.col("dated_by") == "instant", "by_instant"), n(F.col("dated_by") == "ts", "by_old_ts"), n(F.col("dated_by").isNull(), "undated"))
+
+
 def seconds(ts: str) -> Column:
     """Seconds since 1970 of a wall time without zone, whatever the session's zone."""
     return F.expr(f"unix_date(cast({ts} AS date)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60 + cast(second({ts}) AS int)")

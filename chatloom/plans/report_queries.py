@@ -6,13 +6,23 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
 from chatloom.operators import answers, report
-from chatloom.session import table
+from chatloom.session import materialize, table
 
 
 def _on_messages(section):
     return lambda spark, sf_dir: section(report.chat_messages(table(spark, sf_dir, "messages")))
 
 
+def _on_dated(section):
+    """Over messages dated by their stamps; the SQL of the report_ queries has the old parser's ts instead."""
+
+    def run(spark, sf_dir):
+        m = report.dated_chat_messages(table(spark, sf_dir, "messages"), table(spark, sf_dir, "exports"))
+        return section(materialize(m, "report"))
+
+    return run
+
+
 QUERIES = {
     "report_overview": _on_messages(report.overview),
     "report_participants": _on_messages(report.participants),
@@ -42,6 +52,23 @@ QUERIES = {
     "report_search": _on_messages(lambda m: report.page(m, 1, 100, text="night")),
     "report_persona": _on_messages(report.persona),
     "report_highlights": _on_messages(report.highlights),
+    "dated_coverage": _on_dated(report.coverage),
+    "dated_overview": _on_dated(report.overview),
+    "dated_by_hour": _on_dated(report.by_hour),
+    "dated_by_weekday": _on_dated(report.by_weekday),
+    "dated_by_month": _on_dated(report.by_month),
+    "dated_conversation_starters": _on_dated(report.conversation_starters),
+    "dated_numbered_conversations": _on_dated(report.numbered_conversations),
+    "dated_response_stats": _on_dated(report.response_stats),
+    "dated_fastest_response": _on_dated(report.fastest_response),
+    "dated_reply_pairs": _on_dated(report.reply_pairs),
+    "dated_night_share": _on_dated(report.night_share),
+    "dated_streaks": _on_dated(report.streaks),
+    "dated_biggest_day": _on_dated(report.biggest_day),
+    "dated_vibe": _on_dated(report.vibe),
+    "dated_persona": _on_dated(report.persona),
+    "dated_highlights": _on_dated(report.highlights),
+    "dated_reply_speed": _on_dated(lambda m: answers.answer(m, "Who is quickest to reply?")),
     "answer_who_talks_most": _on_messages(lambda m: answers.answer(m, "Who talks the most?")),
     "answer_longer_messages": _on_messages(lambda m: answers.answer(m, "Who sends longer messages?").drop("rank")),
     "answer_reply_speed": _on_messages(lambda m: answers.answer(m, "Who is quickest to reply?")),
