@@ -39,8 +39,7 @@ def _round_trip(spark, sf_dir):
     """Messages written as text exports, read again and parsed."""
     path = scratch_path(spark, "exports")
     chatlog.write_exports(_m(spark, sf_dir), path)
-    files = chatlog.read_exports(spark, path)
-    parsed = chatlog.parse_exports(files.select("file", "value"))
+    parsed = chatlog.parse_lines(chatlog.read_lines(spark, path))
     folder = lambda name: F.regexp_extract("file", f"{name}=(\\d+)", 1).cast("bigint")
     return parsed.select(folder("chat_id").alias("chat_id"), folder("part").alias("part"), "id", "date", "time", "ts", "sender", "message", "message_length", "is_media", "is_deleted")
 

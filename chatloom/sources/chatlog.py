@@ -1,18 +1,18 @@
 """Text exports of chats as a source: files of lines become typed messages.
 
-Files are read whole (an export is small by its nature; larger files are refused by size), lines are joined to messages by
-gaps and islands over blocks of lines, so no task needs a whole chat in a window.
+Files of any size are read as lines by splits; lines are joined to messages by gaps and islands over blocks of lines, so no task
+needs a whole file or a whole chat in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
 from chatloom.operators.adjacent import running_count
+from chatloom.session import materialize
 
-MOST_BYTES = 10 * 1024 * 1024
 #: White space as the exports' writers count it.
 BLANKS = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::\d{2})?\s*([ap]\.?m\.?)?"
@@ -31,10 +31,29 @@ def trimmed(col: Column) -> Column:
     return F.regexp_replace(col, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
-def read_exports(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """One row per text file below `path`: file, value, and the columns of its folders. Files over `most_bytes` are left out."""
+def read_exports(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """One row per text file below `path`: file, value, and the columns of its folders. Files over `most_bytes`, if given, are left out.
+
+    A file is a row of one task here; `read_lines` has no such bound.
+    """
     files = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"))
-    return files.filter(F.col("_size") <= most_bytes).drop("_size")
+    return (files if most_bytes is None else files.filter(F.col("_size") <= most_bytes)).drop("_size")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line of the text files below `path`, whatever their size: file, line_no from 0, raw.
+
+    A split gives its lines in order; its number in the file follows from the lines of the splits before it. The numbered
+    lines are written once, since line numbers and their counts must come from one reading.
+    """
+    read = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("raw")
+    )
+    read = materialize(read, "lines")
+    splits = read.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = splits.select("file", "split", (earlier - F.col("first")).alias("shift"))
+    return read.join(begins, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "raw")
 
 
 def parse_exports(files: DataFrame) -> DataFrame:
@@ -43,7 +62,11 @@ def parse_exports(files: DataFrame) -> DataFrame:
     A line with stamp and sender opens a message, a line with a stamp only is a notice and closes it, other lines that aren't blank go on with the open message,
     trimmed. Lines before the first stamp and after a notice are dropped, as are messages without text. Empty and foreign files give no rows.
     """
-    lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "raw"))
+    return parse_lines(files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "raw")))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Messages of numbered lines (file, line_no, raw), as `parse_exports`."""
     lines = lines.withColumn("line", F.translate("raw", "\u202f\u00a0\u200e\u200f", "    ")).drop("raw")
     day, iso = F.col("line").rlike(HEAD), F.col("line").rlike(ISO_HEAD)
     kind = F.when(day, "day").when(iso, "iso").when(F.col("line").rlike(NOTICE) | F.col("line").rlike(ISO_NOTICE), "notice")
