@@ -131,8 +131,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
 def _windows(seeds: list[tuple[int, int]], length: int, total: int) -> list[tuple[int, int]]:
     """Parts of a document around its seeds, each wide enough for the whole item, overlapping ones as one."""
     out: list[list[int]] = []
-    for doc_at, item_at in sorted(seeds):
-        lo, hi = max(0, doc_at - item_at - 8), min(total, doc_at - item_at + length + 8)
+    # in order of their lower bounds, which isn't that of the seeds
+    for start in sorted(doc_at - item_at for doc_at, item_at in seeds):
+        lo, hi = max(0, start - 8), min(total, start + length + 8)
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
