@@ -257,6 +257,20 @@ def page(m: DataFrame, number: int = 2, size: int = 50, sender: str | None = Non
     return m.orderBy("chat_id", "msg_id").offset((max(number, 1) - 1) * size).limit(size).select("chat_id", "msg_id", "date", "sender", F.substring("message", 1, 200).alias("text"))
 
 
+def browse(m: DataFrame, number: int = 1, size: int = 50, sender: str | None = None, text: str | None = None) -> DataFrame:
+    """A page as `page` chooses it, with whole messages; a page past the end is the last one. `total`, `page` and `total_pages` stand on each row."""
+    if sender is not None:
+        m = m.filter(F.lower("sender") == sender.lower())
+    if text is not None:
+        m = m.filter(F.contains(F.lower("message"), F.lit(text.lower())))
+    size = min(max(size, 10), 100)
+    total = m.count()
+    pages = max(1, -(-total // size))
+    number = min(max(number, 1), pages)
+    rows = m.orderBy("chat_id", "msg_id").offset((number - 1) * size).limit(size)
+    return rows.select("chat_id", "msg_id", "date", "sender", "message", *[F.lit(v).cast("bigint").alias(c) for c, v in (("total", total), ("page", number), ("total_pages", pages))])
+
+
 def persona(m: DataFrame) -> DataFrame:
     """A chat in a row: messages, peak hour, night share, most used emojis and words in order, fastest mean reply, messages of the busiest day."""
     listed = lambda df, name, k: df.filter(F.col("rank") <= k).groupBy("chat_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", name))), lambda x: x[name]).alias(f"{name}s"))

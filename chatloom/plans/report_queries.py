@@ -50,6 +50,8 @@ QUERIES = {
     "report_floods_collapsed": _on_messages(report.collapse_floods),
     "report_page": _on_messages(report.page),
     "report_search": _on_messages(lambda m: report.page(m, 1, 100, text="night")),
+    "report_browse": _on_messages(lambda m: report.browse(m, 2)),
+    "report_browse_search": _on_messages(lambda m: report.browse(m, 1, 100, text="night")),
     "report_persona": _on_messages(report.persona),
     "report_highlights": _on_messages(report.highlights),
     "dated_coverage": _on_dated(report.coverage),
