@@ -41,13 +41,9 @@ def clean_stamp(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
-def _parts(col: Column, pattern: str, groups: int) -> Column:
-    """The groups of a pattern as an array of strings; nothing in the text may hold the separator."""
-    return F.split(F.regexp_replace(col, pattern, "|".join(f"${i}" for i in range(1, groups + 1))), r"\|")
-
-
-def _int(col: Column) -> Column:
-    return col.try_cast("int")
+def whole(col: Column) -> Column:
+    """A text of up to nine digits as a number, null for any other: a cast that fails inside Spark costs an exception for each value."""
+    return F.when(col.rlike(r"^[0-9]{1,9}$"), col.cast("int"))
 
 
 def _lookup(values: dict[str, int], key: Column) -> Column:
@@ -56,8 +52,9 @@ def _lookup(values: dict[str, int], key: Column) -> Column:
 
 def epoch_day(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970 of a real date, null otherwise."""
-    first = F.when((y >= 1) & m.between(1, 12), F.make_date(y, m, F.lit(1)))
-    return F.when(d.between(1, F.day(F.last_day(first))), F.unix_date(first).cast("bigint") + d - 1)
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last), F.unix_date(F.make_date(y, m, d)).cast("bigint"))
 
 
 NUMERIC = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})$"
@@ -65,7 +62,7 @@ YEAR_FIRST = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
 DAY_NAME = r"^(\d{1,2})\.? ([a-z]+)\.?,? (\d{4}|\d{2})$"
 NAME_DAY = r"^([a-z]+)\.? (\d{1,2}),? (\d{4}|\d{2})$"
 ISO = r"^(\d{4})-(\d{2})-(\d{2})[t ](\d{2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?: ?(z|[+-]\d{2}(?::?\d{2})?))?$"
-COUNT = r"^\d{9,14}$"
+COUNT = r"^(\d{9,14})$"
 CLOCK = r"^(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)?(?: ?([ap])\.? ?m\.?)?(?: ?((?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?|[a-z]{1,5}))?$"
 OFFSET = r"^(?:utc|gmt)?([+-])(\d{1,2}):?(\d{2})?$"
 
@@ -74,51 +71,38 @@ def full_year(y: Column) -> Column:
     return F.when(y < 100, y + 2000).otherwise(y)
 
 
-def date_shape(d: Column) -> Column:
-    """The way a cleaned date is written, null where it can't be read."""
-    return (
-        F.when(d.rlike(COUNT), "count").when(d.rlike(ISO), "iso").when(d.rlike(YEAR_FIRST), "year_first")
-        .when(d.rlike(NUMERIC), "numeric").when(d.rlike(DAY_NAME), "day_name").when(d.rlike(NAME_DAY), "name_day")
-    )
+#: Ways to write a date, with the parts that each gives: year, month, day where the way fixes them (an iso date adds hour, minute, second, zone),
+#: the three numbers as they stand where it is numeric.
+SHAPES = [
+    ("count", COUNT, "$1"), ("iso", ISO, "$1|$2|$3|$4|$5|$6|$7"), ("year_first", YEAR_FIRST, "$1|$3|$4"),
+    ("numeric", NUMERIC, "$1|$3|$4"), ("day_name", DAY_NAME, "$3|$2|$1"), ("name_day", NAME_DAY, "$3|$1|$2"),
+]
 
 
-def date_parts(d: Column, shape: Column) -> Column:
-    """Array of year, month, day where the shape fixes them (an iso date adds hour, minute, second, zone);
-    the three numbers as they stand where the shape is numeric."""
-    swap = lambda a, *order: F.transform(F.array(*map(F.lit, order)), lambda i: a[i])
-    return (
-        F.when(shape == "iso", _parts(d, ISO, 7))
-        .when(shape == "year_first", swap(_parts(d, YEAR_FIRST, 4), 0, 2, 3))
-        .when(shape == "numeric", swap(_parts(d, NUMERIC, 4), 0, 2, 3))
-        .when(shape == "day_name", swap(_parts(d, DAY_NAME, 3), 2, 1, 0))
-        .when(shape == "name_day", swap(_parts(d, NAME_DAY, 3), 2, 0, 1))
-    )
+def date_parts(d: Column) -> Column:
+    """Array of the way a cleaned date is written and its parts, null where it can't be read."""
+    out = F.when(~d.contains("|"), d)
+    for name, pattern, parts in SHAPES:
+        out = F.regexp_replace(out, pattern, f"{name}|{parts}")
+    return F.split(out, r"\|")
 
 
 def month_number(written: Column) -> Column:
     """A month written as a number or by its English name."""
     names = {n: i for i, both in enumerate(zip(MONTHS, MONTH_NAMES, strict=True), 1) for n in both} | {"sept": 9}
-    return F.coalesce(written.try_cast("int"), _lookup(names, written))
-
-
-def fixed_day(parts: Column) -> Column:
-    """Day of year, month and day in this order."""
-    return epoch_day(full_year(_int(parts[0])), month_number(parts[1]), _int(parts[2]))
+    return F.when(written.rlike("^[0-9]"), whole(written)).otherwise(_lookup(names, written))
 
 
 def ordered_days(n1: Column, n2: Column, n3: Column) -> dict[str, Column]:
-    """The day that three numbers name under each order, null where they name none."""
+    """The day that three numbers name under each order, null where they name none; years of two digits are 20yy."""
     y3 = full_year(n3)
-    return {
-        "dmy": epoch_day(y3, n2, n1),
-        "mdy": epoch_day(y3, n1, n2),
-        "ymd": F.when(n3 < 100, epoch_day(n1 + 2000, n2, n3)),
-    }
+    return {"dmy": epoch_day(y3, n2, n1), "mdy": epoch_day(y3, n1, n2), "ymd": epoch_day(full_year(n1), n2, F.when(n3 < 100, n3))}
 
 
 def clock_parts(t: Column) -> Column:
     """Array of hour, minute, second, half of the day, zone of a cleaned time; null where it isn't one."""
-    return F.when(t.rlike(CLOCK), _parts(t, CLOCK, 5))
+    parts = F.split(F.regexp_replace(F.when(~t.contains("|"), t), CLOCK, "$1|$2|$3|$4|$5"), r"\|")
+    return F.when(F.size(parts) == 5, parts)
 
 
 def second_of_day(h: Column, mi: Column, s: Column, half: Column) -> Column:
@@ -126,16 +110,19 @@ def second_of_day(h: Column, mi: Column, s: Column, half: Column) -> Column:
     return F.when((mi <= 59) & (F.coalesce(s, F.lit(0)) <= 59), hour * 3600 + mi * 60 + F.coalesce(s, F.lit(0)))
 
 
-def offset_seconds(zone: Column) -> Column:
-    """Seconds east of UTC for a written zone; null where it isn't one."""
-    parts = F.when(zone.rlike(OFFSET), _parts(zone, OFFSET, 3))
-    hours, minutes = _int(parts[1]), F.coalesce(_int(parts[2]), F.lit(0))
-    signed = F.when(parts[0] == "-", -1).otherwise(1) * (hours * 3600 + minutes * 60)
-    return F.coalesce(F.when((hours <= 14) & (minutes < 60), signed), _lookup({k: v * 60 for k, v in ZONE_MINUTES.items()}, zone))
+def offset_parts(zone: Column) -> Column:
+    """Array of sign, hours, minutes of a zone written as an offset, of fewer parts for any other."""
+    return F.split(F.regexp_replace(zone, OFFSET, "$1|$2|$3"), r"\|")
+
+
+def offset_seconds(zone: Column, parts: Column) -> Column:
+    """Seconds east of UTC for a written zone and its `offset_parts`; null where it isn't one."""
+    hours, rest = whole(F.get(parts, F.lit(1))), F.coalesce(whole(F.get(parts, F.lit(2))), F.lit(0))
+    seconds = (hours * 60 + rest) * F.when(parts[0] == "-", -60).otherwise(60)
+    signed = F.when((hours <= 14) & (rest < 60), seconds)
+    return F.when(F.size(parts) == 3, signed).otherwise(_lookup({k: v * 60 for k, v in ZONE_MINUTES.items()}, zone))
 
 
 def zone_offset(zone: Column, utc_second: Column) -> Column:
     """Offset of a named zone at an instant, in seconds, whatever the session's own zone."""
-    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=utc_second.cast("decimal(18,6)"))
-    wall = F.convert_timezone(F.lit("UTC"), zone, at)
-    return F.unix_date(wall.cast("date")).cast("bigint") * 86400 + F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall) - utc_second
+    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(utc_second), zone)) - utc_second

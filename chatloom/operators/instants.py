@@ -44,11 +44,16 @@ def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*old, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
+def _numbers(cleaned: DataFrame) -> DataFrame:
+    """Rows with a cleaned date `_d`, with its parts `_dp` and their numbers `_n1`, `_n2`, `_n3`."""
+    cut = _settled(cleaned, {"_dp": stamps.date_parts(F.col("_d"))})
+    part = lambda i: F.get("_dp", F.lit(i))
+    return _settled(cut, {"_n1": stamps.whole(part(1)), "_n2": stamps.month_number(part(2)), "_n3": stamps.whole(part(3))})
+
+
 def order_posteriors(
     numbers: DataFrame,
-    exports: DataFrame,
     source: str,
-    n_exports: int,
     iterations: int = 12,
     strength: float = 20.0,
     against: float = 7.0,
@@ -57,18 +62,14 @@ def order_posteriors(
 ) -> DataFrame:
     """Posterior of each date order per `source` and set of valid orders.
 
-    `numbers` has `source` and n1, n2, n3; `exports` has `source`, `_exported_day` and `_order`, the stated order or null; sources that state one have no row in the result. The density of an order is
+    `numbers` has `source`, `_exported_day` and n1, n2, n3, of sources that don't state their order. The density of an order is
     uniform over its days and falls with their mean age at the export, by e for each `age_days`; an order
     whose days lie after the export on the whole has next to none. Result: `source`, `_em_posterior` ARRAY<STRUCT<dmy,mdy,ymd>>, at
     index m the posterior of a value that is a real date under the orders in bit mask m. A source
     without such values has no row.
     """
-    # only sources that don't state their order need counts and iterations
-    stated = F.coalesce(F.col("_order").isin(*ORDERS), F.lit(False))
-    context = checked_broadcast(exports.select(source, "_exported_day", "_order"), n_exports)
-    seen = numbers.filter(F.col("n1").isNotNull()).join(context, source, "left").filter(~stated)
     days = _possible(stamps.ordered_days(F.col("n1"), F.col("n2"), F.col("n3")), F.col("_exported_day"))
-    seen = _settled(seen.select(source, "n1", "n2", "n3", "_exported_day"), {f"_{k}": v for k, v in days.items()})
+    seen = _settled(numbers.filter(F.col("n1").isNotNull()), {f"_{k}": v for k, v in days.items()})
     seen = seen.withColumn("_mask", _mask({o: F.col(f"_{o}") for o in ORDERS}))
     state = seen.groupBy(source).agg(
         F.array(*[F.count_if(F.col("_mask") == m) if m else F.lit(0) for m in range(8)]).alias("_n"),
@@ -131,46 +132,49 @@ def resolve_instants(
     known = exports.dropDuplicates([source]).select(
         F.col(source).alias("_src"), F.col(zone).alias("_zone"), F.col(order).alias("_order"), F.unix_date(F.col(exported).cast("date")).alias("_exported_day")
     )
-    parsed = _settled(rows, {"_d": stamps.clean_stamp(F.col(date)), "_t": stamps.clean_stamp(F.col(time))})
-    parsed = _settled(parsed, {"_shape": stamps.date_shape(F.col("_d")), "_src": F.col(source)})
-    parsed = _settled(parsed, {"_dp": stamps.date_parts(F.col("_d"), F.col("_shape")), "_tp": stamps.clock_parts(F.col("_t"))})
-    number = lambda i: F.when(F.col("_shape") == "numeric", F.col("_dp")[i].try_cast("int"))
-    parsed = _settled(parsed, {"_n1": number(0), "_n2": number(1), "_n3": number(2)})
-    slim = parsed.select("_src", F.col("_n1").alias("n1"), F.col("_n2").alias("n2"), F.col("_n3").alias("n3"))
     # one row of fixed size for each source; the size of `exports` is counted, not assumed
     n_exports = exports.count()
-    post = order_posteriors(slim, known, "_src", n_exports)
+    # only sources that don't state their order need counts and iterations, so only their dates are read for them
+    silent = known.filter(~F.coalesce(F.col("_order").isin(*ORDERS), F.lit(False))).select("_src", "_exported_day")
+    dates = rows.select(F.col(source).alias("_src"), F.col(date).alias("_date")).join(checked_broadcast(silent, n_exports), "_src")
+    numbers = _numbers(_settled(dates, {"_d": stamps.clean_stamp(F.col("_date"))}))
+    post = order_posteriors(numbers.filter(F.col("_dp")[0] == "numeric").select("_src", "_exported_day", *[F.col(f"_n{i}").alias(f"n{i}") for i in (1, 2, 3)]), "_src")
     context = checked_broadcast(known.join(post, "_src", "left"), n_exports)
+    parsed = _numbers(_settled(rows, {"_d": stamps.clean_stamp(F.col(date)), "_t": stamps.clean_stamp(F.col(time)), "_src": F.col(source)}))
+    parsed = _settled(parsed, {"_shape": F.when(F.size("_dp") > 1, F.col("_dp")[0]), "_tp": stamps.clock_parts(F.col("_t"))})
     df = parsed.join(context, "_src", "left")
 
+    # numbers that a shape fixes in order are no choice of orders
     df = _settled(df, {f"_day_{o}": v for o, v in stamps.ordered_days(F.col("_n1"), F.col("_n2"), F.col("_n3")).items()})
-    df = _settled(df, {"_mask": _mask(_possible({o: F.col(f"_day_{o}") for o in ORDERS}, F.col("_exported_day")))})
+    numeric = F.coalesce(F.col("_shape") == "numeric", F.lit(False))
+    df = _settled(df, {"_mask": F.when(numeric, _mask(_possible({o: F.col(f"_day_{o}") for o in ORDERS}, F.col("_exported_day")))).otherwise(0)})
     df = df.withColumn("_p", F.coalesce(F.col("_em_posterior")[F.col("_mask")], F.struct(*[F.lit(0.0).alias(o) for o in ORDERS])))
     best = F.greatest(*[F.col("_p")[o] for o in ORDERS])
-    guess = F.when(best == F.col("_p.dmy"), "dmy").when(best == F.col("_p.mdy"), "mdy").otherwise("ymd")
-    guessed = F.when(guess == "dmy", F.col("_day_dmy")).when(guess == "mdy", F.col("_day_mdy")).otherwise(F.col("_day_ymd"))
+    df = _settled(df, {"_guess": F.when(best == F.col("_p.dmy"), "dmy").when(best == F.col("_p.mdy"), "mdy").otherwise("ymd")})
+    df = _settled(df, {"_guessed": F.when(F.col("_guess") == "dmy", F.col("_day_dmy")).when(F.col("_guess") == "mdy", F.col("_day_mdy")).otherwise(F.col("_day_ymd"))})
     # orders that name the same day agree
-    best = sum((F.when(F.col(f"_day_{o}") == guessed, F.col("_p")[o]).otherwise(0.0) for o in ORDERS), F.lit(0.0))
+    df = _settled(df, {"_best": sum((F.when(F.col(f"_day_{o}") == F.col("_guessed"), F.col("_p")[o]).otherwise(0.0) for o in ORDERS), F.lit(0.0))})
     stated = F.col("_order").isin(*ORDERS)
-    numeric = F.coalesce(F.col("_shape") == "numeric", F.lit(False))
     df = _settled(
         df,
         {
-            "stamp_order": F.when(numeric, F.when(stated, F.col("_order")).when((F.col("_mask") > 0) & (best >= certain), guess)),
-            "stamp_confidence": F.when(numeric, F.when(stated, 1.0).otherwise(best)).when(F.col("_shape").isNotNull(), 1.0),
+            "stamp_order": F.when(numeric, F.when(stated, F.col("_order")).when((F.col("_mask") > 0) & (F.col("_best") >= certain), F.col("_guess"))),
+            "stamp_confidence": F.when(numeric, F.when(stated, 1.0).otherwise(F.col("_best"))).when(F.col("_shape").isNotNull(), 1.0),
         },
     )
     iso = F.coalesce(F.col("_shape") == "iso", F.lit(False))
     count = F.coalesce(F.col("_shape") == "count", F.lit(False))
-    day = F.when(~numeric & ~count, stamps.fixed_day(F.col("_dp")))
+    # a shape that isn't numeric has year, month and day in this order
+    day = F.when(~numeric & ~count, F.col("_day_ymd"))
     for o in ORDERS:
         day = F.when(F.col("stamp_order") == o, F.col(f"_day_{o}")).otherwise(day)
     # the parts of the clock, from the date where it holds them
-    clock = F.when(iso, F.array(F.col("_dp")[3], F.col("_dp")[4], F.col("_dp")[5], F.lit(""), F.col("_dp")[6])).otherwise(F.col("_tp"))
-    stated_zone = F.when(iso & (F.col("_dp")[6] == ""), F.coalesce(F.col("_tp")[4], F.lit(""))).otherwise(clock[4])
+    clock = F.when(iso, F.array(F.col("_dp")[4], F.col("_dp")[5], F.col("_dp")[6], F.lit(""), F.col("_dp")[7])).otherwise(F.col("_tp"))
+    stated_zone = F.when(iso & (F.col("_dp")[7] == ""), F.coalesce(F.col("_tp")[4], F.lit(""))).otherwise(clock[4])
     df = _settled(df, {"_day": day, "_clock": clock, "_z": stated_zone})
-    part = lambda i: F.col("_clock")[i].try_cast("int")
-    df = _settled(df, {"_second": stamps.second_of_day(part(0), part(1), part(2), F.col("_clock")[3]), "_offset": F.when(F.col("_z") != "", stamps.offset_seconds(F.col("_z")))})
+    df = _settled(df, {"_op": F.when(F.col("_z") != "", stamps.offset_parts(F.col("_z")))})
+    part = lambda i: stamps.whole(F.col("_clock")[i])
+    df = _settled(df, {"_second": stamps.second_of_day(part(0), part(1), part(2), F.col("_clock")[3]), "_offset": F.when(F.col("_z") != "", stamps.offset_seconds(F.col("_z"), F.col("_op")))})
     # a zone that is written but unknown makes the time unreadable
     df = df.withColumn("_second", F.when((F.col("_z") == "") | F.col("_offset").isNotNull(), F.col("_second")))
     df = _settled(df, {"_wall": F.col("_day") * 86400 + F.col("_second")})
@@ -183,7 +187,8 @@ def resolve_instants(
     holds = lambda o: F.when(~near, F.lit(True)).otherwise(stamps.zone_offset(F.col("_zone"), F.col("_wall") - F.col(o)) == F.col(o))
     df = _settled(df, {"_h1": F.when(zoned, holds("_o1")), "_h2": F.when(zoned, holds("_o2"))})
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
-    written = F.when(F.length("_d") >= 12, F.floor(F.col("_d").try_cast("bigint") / 1000)).otherwise(F.col("_d").try_cast("bigint"))
+    number_of = F.when(count, F.col("_d").cast("bigint"))
+    written = F.when(F.length("_d") >= 12, F.floor(number_of / 1000)).otherwise(number_of)
     status = (
         F.when(blank("_d"), "missing").when(count, "resolved").when(~iso & blank("_t"), "missing").when(F.col("_shape").isNull(), "unreadable")
         .when(numeric & F.col("stamp_order").isNull() & (F.col("_mask") > 0), "order_open").when(F.col("_day").isNull(), "impossible")

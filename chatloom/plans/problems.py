@@ -26,19 +26,27 @@ def p1_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamps(spark, sf_dir).filter(F.col("stamp_status") != "resolved").select("row_id", "stamp_status", "stamp_order")
 
 
-def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dated_rows(table(spark, sf_dir, "messages"), table(spark, sf_dir, "exports")).filter(~F.col("system"))
-    return sessions_of_batches(materialize(rows, "dated"), scratch_path(spark, "sessions"))
+def _sessions(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Sessions of dated rows; persons by their 64-bit hash, which aggregates without sorting."""
+    slim = rows.filter(~F.col("system")).select("chat_id", "msg_id", "minute", "loaded_at", F.xxhash64("person").alias("person"))
+    return sessions_of_batches(materialize(slim, "dated"), scratch_path(spark, "sessions"))
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dated_rows(table(spark, sf_dir, "messages"), table(spark, sf_dir, "exports"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sessions(spark, sf_dir).select("chat_id", "first_msg_id", "last_msg_id", "n_messages")
+    return _sessions(spark, _dated(spark, sf_dir)).select("chat_id", "first_msg_id", "last_msg_id", "n_messages")
 
 
 def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole session rows: person, start, end, duration in minutes, number of messages."""
+    rows = materialize(_dated(spark, sf_dir), "rows")
+    names = rows.select("chat_id", F.xxhash64("person").alias("person"), F.col("person").alias("name")).distinct()
     span = (F.col("end_minute") - F.col("start_minute")).alias("duration_minutes")
-    return _sessions(spark, sf_dir).select("chat_id", "person", "start_minute", "end_minute", span, "n_messages")
+    found = _sessions(spark, rows).join(names, ["chat_id", "person"])
+    return found.select("chat_id", F.col("name").alias("person"), "start_minute", "end_minute", span, "n_messages")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

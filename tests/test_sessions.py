@@ -32,14 +32,14 @@ def test_batches_in_any_order_give_the_same_sessions(spark):
         batches[rng.randrange(3)].append(e)
     batches[2] += batches[0][:20]  # loaded again
     batches[1].append((1, "a", 999, None))
-    table = SessionTable(spark, scratch_path(spark, "sessions"), buckets=4)
+    table = SessionTable(spark, scratch_path(spark, "sessions"), compact_after=3)
     for b in batches:
         table.apply(spark.createDataFrame(b, EVENTS))
     assert found(table.read()) == brute(events)
 
 
 def test_bridging_and_the_exact_gap(spark):
-    table = SessionTable(spark, scratch_path(spark, "sessions"), buckets=2)
+    table = SessionTable(spark, scratch_path(spark, "sessions"))
     assert table.read().count() == 0
     table.apply(spark.createDataFrame([(1, "a", 1, 0), (1, "a", 3, 200)], EVENTS))
     assert len(found(table.read())) == 2
@@ -49,6 +49,37 @@ def test_bridging_and_the_exact_gap(spark):
     assert found(table.read()) == [(1, "a", 1, 3, 3), (1, "a", 4, 4, 1)]
 
 
+def test_two_writers_lose_no_batch(spark):
+    path = scratch_path(spark, "sessions")
+    one, other = SessionTable(spark, path), SessionTable(spark, path)
+    one.apply(spark.createDataFrame([(1, "a", 1, 0)], EVENTS))
+    commit = one._commit
+
+    def late(version, manifest):
+        one._commit = commit
+        other.apply(spark.createDataFrame([(1, "a", 2, 60)], EVENTS))  # commits the same version first
+        return commit(version, manifest)
+
+    one._commit = late
+    one.apply(spark.createDataFrame([(1, "a", 3, 100), (2, None, 1, 5)], EVENTS))
+    assert one.version() == 3
+    assert found(one.read()) == [(1, "a", 1, 3, 3), (2, None, 1, 1, 1)]
+
+
+def test_a_batch_writes_what_it_changes(spark):
+    table = SessionTable(spark, scratch_path(spark, "sessions"))
+    table.apply(spark.createDataFrame([(c, "a", 1, 0) for c in range(500)] + [(1, "b", 2, 5000)], EVENTS))
+    table.apply(spark.createDataFrame([(7, "a", 2, 50), (8, "b", 3, 9000)], EVENTS))
+    newest = table._manifest(table.version())["sessions"][-1]
+    rows = spark.read.parquet(newest)
+    assert sorted((r["chat_id"], r["dead"], r["n_messages"]) for r in rows.collect()) == [(7, False, 2), (7, True, 1), (8, False, 1)]
+    assert table.read().count() == 502
+    table.compact()
+    assert table.read().count() == 502 and table._rows(table._manifest(table.version())["sessions"], table.sessions).count() == 502
+    table.apply(spark.createDataFrame([(7, "a", 2, 50)], EVENTS))  # counted before
+    assert table.version() == 3
+
+
 def test_no_events(spark):
     assert local_sessions(spark.createDataFrame([], EVENTS)).count() == 0
     assert local_sessions(spark.createDataFrame([(1, "a", 1, None)], EVENTS)).count() == 0
