@@ -65,19 +65,24 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact_column(_personal_texts(spark, sf_dir), "text", names).select("tbl", "id", "text_redacted")
 
 
-def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(dated_rows(table(spark, sf_dir, "messages"), table(spark, sf_dir, "exports")), "dated")
-    return threads.rebuild(rows)
+def _threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return threads.rebuild(dated_rows(table(spark, sf_dir, "messages"), table(spark, sf_dir, "exports")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = threads.conversations(_threads(spark, sf_dir)).filter("kept")
-    return kept.select("chat_id", "first_msg_id", "last_msg_id", "n_messages")
+    _, runs, _ = _threads(spark, sf_dir)
+    return threads.conversations(runs).filter("kept").select("chat_id", "first_msg_id", "last_msg_id", "n_messages")
 
 
 def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of kept conversations in order, each by the opener or a replier."""
-    return threads.turns(materialize(_threads(spark, sf_dir), "threads"))
+    messages, runs, _ = _threads(spark, sf_dir)
+    return threads.turns(messages, materialize(runs, "placed"))
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the pointers by time and by number end in each chat: at a root, at an absent number, or never."""
+    return threads.broken_links(_threads(spark, sf_dir)[2])
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +127,6 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_normalised, p4_found, p4_lines, p4_messages, p5_found, p5_redacted, p6_found, p6_turns, p8_packed, p8_fill, p9_found, p9_scores, p10_found, p10_statistics)
+    for f in (p2_found, p2_normalised, p4_found, p4_lines, p4_messages, p5_found, p5_redacted, p6_found, p6_turns, p6_links, p8_packed, p8_fill, p9_found, p9_scores, p10_found, p10_statistics)
 }
 ORACLES: dict[str, str] = {}
