@@ -7,6 +7,7 @@ Joiners and selectors stay where they belong to an emoji, joiners also inside In
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -48,7 +49,6 @@ _KEPT = "|".join(
     ]
 )
 _INVISIBLE = regex.compile(rf"(?:{_KEPT})(*SKIP)(*FAIL)|[{IGNORABLE}]")
-_SPACE = regex.compile(rf"[\s{SPACES}]+")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _FOREIGN = regex.compile(r"[\p{Script=Cyrillic}\p{Script=Greek}\p{Script=Armenian}ıɑɡⅼ]")
 SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic", "Greek", "Armenian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Tamil", "Telugu", "Kannada", "Malayalam", "Thai", "Georgian", "Hangul", "Cherokee")}
@@ -80,18 +80,38 @@ def strip_invisible(text: str) -> str:
     return _INVISIBLE.sub("", text)
 
 
+#: Characters that the form leaves as they are but for case and white space.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u012f\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+_CYRILLIC, _DEVANAGARI = "\u0400-\u045f", "\u0900-\u0928\u092a-\u0930\u0932\u0933\u0935-\u0939\u093d-\u0950\u0960-\u096f"
+_SIGNS = "\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf\u00d7\u2013\u2014\u2018-\u201d\u2022\u20ac\u20b9\u2190-\u2194\u2600-\u2767\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff"
+_OTHER = re.compile(rf"[^\t\n\r\x20-\x40\x5b-\x60\x7b-\x7e{_LATIN}{_CYRILLIC}{_DEVANAGARI}{_SIGNS}\ufe0f\u200d]")
+_ALONE = regex.compile(rf"(?<![{EMOJI}])\ufe0f|(?<![{EMOJI}\ufe0f])\u200d|\u200d(?![{EMOJI}])")
+_BESIDE = re.compile("|".join(f"[{a}](?=[{b}])" for a, b in ((_LATIN, _CYRILLIC + _DEVANAGARI), (_CYRILLIC, _LATIN + _DEVANAGARI), (_DEVANAGARI, _LATIN + _CYRILLIC))))
+_ELSEWHERE = re.compile("[\u0400-\u097f]")
+
+
+def is_settled(text: str) -> bool:
+    """Whether lower case and plain spaces alone give the form: characters that the form keeps, no selector or joiner that stands alone, no two scripts side by side."""
+    if _OTHER.search(text):
+        return False
+    if ("\ufe0f" in text or "\u200d" in text) and _ALONE.search(text):
+        return False
+    return not (_ELSEWHERE.search(text) and _BESIDE.search(text))
+
+
 def normal_form(text: str | None, fold: bool = True) -> str | None:
     """The one form of a text; None stays None. Line breaks and tabs become plain spaces."""
     if text is None:
         return None
-    if not text.isascii():
+    if not (text.isascii() or is_settled(text)):
         text = unicodedata.normalize("NFKC", strip_invisible(text))
         text = unify_scripts(text)
         if fold:
             text = unicodedata.normalize("NFKC", text.casefold())
     elif fold:
         text = text.lower()
-    return _SPACE.sub(" ", text).strip()
+    # white space of any kind parts the words
+    return " ".join(text.split())
 
 
 def per_distinct(values: pd.Series, fn) -> pd.Series:
@@ -101,34 +121,12 @@ def per_distinct(values: pd.Series, fn) -> pd.Series:
     return pd.Series([out[c] if c >= 0 else None for c in codes], index=values.index, dtype=object)
 
 
-#: Characters that the form leaves as they are but for their case and white space, in the form of a Java character class.
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00e0-\u00f6\u00f8-\u012f\u0134-\u013e\u0141-\u0148\u014a-\u017e"
-_CYRILLIC, _DEVANAGARI = "\u0400-\u045f", "\u0900-\u0928\u092a-\u0930\u0932\u0933\u0935-\u0939\u093d-\u0950\u0960-\u096f"
-_SIGNS = "\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf\u00d7\u2013\u2014\u2018-\u201d\u2022\u20ac\u20b9\u2190-\u2194\u2600-\u2767\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff"
-_PICTURES = "\u2600-\u2604\u260e\u2614\u2615\u2639\u263a\u2640\u2642\u2665\u2696\u26a1\u2705\u2708\u270c\u270d\u2728\u2744\u2764\U0001f300-\U0001f320\U0001f32d-\U0001f393\U0001f3a0-\U0001f3ca\U0001f3f0\U0001f400-\U0001f4fc\U0001f500-\U0001f53d\U0001f5fb-\U0001f64f\U0001f680-\U0001f6c5\U0001f90c-\U0001f93a\U0001f93c-\U0001f945\U0001f947-\U0001f9ff"
-_SCRIPTS = (_LATIN, _CYRILLIC, _DEVANAGARI)
-#: Any other character, a selector or joiner that stands alone, or two scripts side by side: what has to be looked at character by character.
-UNSETTLED = "|".join(
-    [
-        rf"[^\t\n\r\x20-\x40\x5b-\x60\x7b-\x7e{''.join(_SCRIPTS)}{_SIGNS}\ufe0f\u200d]",
-        rf"(?<![{_PICTURES}])\ufe0f", rf"(?<![{_PICTURES}\ufe0f])\u200d|\u200d(?![{_PICTURES}])",
-        *[f"[{a}][{b}]" for a in _SCRIPTS for b in _SCRIPTS if a != b],
-    ]
-)
-
-
-def is_settled(col: Column) -> Column:
-    """True where lower case and plain spaces alone give the form, so that no Python is needed: ASCII texts, and those of characters that the form keeps."""
-    return ~col.rlike(r"[^\t\n\r\x20-\x7e]") | ~col.rlike(UNSETTLED)
-
-
 @F.pandas_udf(StringType())
 def _normal_form_udf(values: pd.Series) -> pd.Series:
     return per_distinct(values, normal_form)
 
 
 def normal_key(col: Column) -> Column:
-    """The form under which senders of one chat are the same person, and equal texts equal; null for null."""
-    settled = is_settled(col)
+    """The form under which senders of one chat are the same person, and equal texts equal; null for null. Plain ASCII values never reach Python."""
     plain = F.trim(F.regexp_replace(F.lower(col), r"\s+", " "))
-    return F.when(settled, plain).otherwise(_normal_form_udf(F.when(~settled, col)))
+    return F.coalesce(_normal_form_udf(F.when(col.rlike(r"[^\t\n\r\x20-\x7e]"), col)), plain)
