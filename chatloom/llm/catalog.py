@@ -100,19 +100,27 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(_packed(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return leaks.filter(F.col("run") >= leakage.WORDS).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).filter("kind = 'exact'").select("doc_id", "item_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and edited copies of passages, with their alignment score."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "kind", F.round("score", 6).alias("score"), "run")
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs that share a rare seed, with alignment score and longest common run: edited copies too."""
+    """All pairs that share a rare seed, with alignment score and longest common run, whether leaks or not."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = materialize(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "stats")
-    return quality.classify(stats, quality.fit_rules(stats))
+    rules = quality.learned_rules(table(spark, sf_dir, "messages"))
+    return quality.classify(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), rules)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +135,6 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_normalised, p4_found, p4_lines, p4_messages, p5_found, p5_redacted, p6_found, p6_turns, p6_links, p8_packed, p8_fill, p9_found, p9_scores, p10_found, p10_statistics)
+    for f in (p2_found, p2_normalised, p4_found, p4_lines, p4_messages, p5_found, p5_redacted, p6_found, p6_turns, p6_links, p8_packed, p8_fill, p9_found, p9_leaks, p9_scores, p10_found, p10_statistics)
 }
 ORACLES: dict[str, str] = {}

@@ -11,12 +11,13 @@ the byte gives the cost, orders above it add their escape costs.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +25,33 @@ from chatloom.functions.textform import normal_form
 
 MAX_ORDER = 5
 DEPENDENCE = 4.0
-_NOISE = regex.compile(r"https?://\S+|www\.\S+|\S*@\S*|\S*\d\S*|[^\p{L}\p{M}'’\s]+")
-_GAPS = regex.compile(r"\s+")
+#: Scored texts that a task keeps, so that a text that comes again is not scored again.
+KNOWN = 50_000
+_NOISE = re.compile(r"\S*[@\d]\S*|https?://\S+|www\.\S+")
+_MAYBE_NOISE = re.compile(r"[@\d]|https?://|www\.")
 #: White space as a writer sees it; a line break never occurs within a line.
+LINE_BREAK = r"\r\n|[\r\n\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]"
 WORD_GAP = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+"
 
 
+class _Letters(dict):
+    """Letters, marks and apostrophes as they are, any other character as a space; each is looked up once."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = c if c in "'’" or unicodedata.category(c)[0] in "LM" else " "
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
 def letters_only(text: str) -> str:
     """Words of a text in one form; addresses, numbers, signs and emoji say nothing about the language."""
-    return _GAPS.sub(" ", _NOISE.sub(" ", normal_form(text))).strip()
+    form = normal_form(text)
+    if _MAYBE_NOISE.search(form):
+        form = _NOISE.sub(" ", form)
+    return " ".join(form.translate(_LETTERS).split())
 
 
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +83,10 @@ class ContextTrees:
     symbol_bits: list[np.ndarray]
     context_keys: list[np.ndarray]
     escape_bits: list[np.ndarray]
+    tables: list[tuple[_Places, _Places]] = field(default_factory=list)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "tables": []}  # made where they are used
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str]) -> ContextTrees:
@@ -103,6 +126,8 @@ class ContextTrees:
         data, starts = _encode(texts)
         if not texts:
             return np.zeros((0, len(self.languages)))
+        if not self.tables:
+            self.tables = [(_Places(s), _Places(c)) for s, c in zip(self.symbol_keys, self.context_keys, strict=True)]
         contexts, within = _contexts(data, starts)
         bits = np.zeros((len(data), len(self.languages)), dtype=np.float32)
         left = np.arange(len(data))
@@ -111,39 +136,67 @@ class ContextTrees:
             here, rest = left[deep], left[~deep]
             ctx = contexts[order][here]
             key = ctx << np.int64(8) | data[here].astype(np.int64)
-            found, at = _locate(self.symbol_keys[order], key)
+            found, at = self.tables[order][0].find(key)
             bits[here[found]] += self.symbol_bits[order][at[found]]
             lost, lost_ctx = here[~found], ctx[~found]
-            known, at = _locate(self.context_keys[order], lost_ctx)
+            known, at = self.tables[order][1].find(lost_ctx)
             bits[lost[known]] += self.escape_bits[order][at[known]]
             left = np.concatenate([rest, lost])
         bits[left] += 8.0
         return np.add.reduceat(bits, starts[:-1], axis=0, dtype=np.float64)
 
 
-def _locate(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
+class _Places:
+    """Where keys of a sorted array lie, by open addressing: a look-up touches about one place of memory, not one for each halving."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(len(keys) * 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.at = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            first = np.unique(slot[free], return_index=True)[1]
+            won = np.flatnonzero(free)[first]
+            self.keys[slot[won]], self.at[slot[won]] = keys[left[won]], left[won]
+            lost = np.ones(len(left), dtype=bool)
+            lost[won] = False
+            left, slot = left[lost], (slot[lost] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its place in the sorted array if so."""
+        slot = self._slot(wanted)
+        there = self.keys[slot]
+        found = there == wanted
+        left = np.flatnonzero(~found & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            hit = there == wanted[left]
+            found[left[hit]] = True
+            left = left[~hit & (there >= 0)]
+        return found, self.at[slot]
 
 
 def fit_languages(rows: DataFrame, text: str, label: str, sample_rows: int = 15_000, rounds: int = 2) -> ContextTrees:
-    """Trees from at most about `sample_rows` different labelled lines, chosen by a hash of the text.
+    """Trees from the lines of at most `sample_rows` different labelled texts, those of the least hashes.
 
-    The fit alone is bounded; scoring reads every row. Labels are partly wrong: after each round only lines whose label the
-    trees confirm stay. Lines without label, or with fewer than three words, take no part. Without labelled
+    The fit alone is bounded; scoring reads every row. Hashes fall into 16 buckets for each row of the sample and every bucket gives its least one, so the
+    sample is as large whatever the size of the corpus, neither copies nor frequent texts make it smaller, and what is aggregated is bounded. Labels are
+    partly wrong: the most frequent one speaks for a text, and after each round only lines whose label the
+    trees confirm stay. Texts without label, and lines with fewer than three words, take no part. Without labelled
     lines there are no languages and every text stays undecided.
     """
-    lines = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.explode(F.split(text, r"\r\n|[\r\n\x{85}\x{2028}\x{2029}]")).alias("t"), F.col(label).alias("l"))
-    lines = lines.filter(F.size(F.split(F.trim("t"), r"\s+")) >= 3)
-    # of different texts, over all labels: neither copies nor the labels that copies add make the sample smaller
-    total = lines.agg(F.approx_count_distinct("t", 0.01)).first()[0]
-    share = min(1.0, sample_rows / max(total, 1))
-    # by the text alone, so that all labels a text was given come together; the most frequent one speaks for it
-    picked = lines.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
-    spoken = picked.groupBy("t", "l").count().groupBy("t").agg(F.min_by("l", F.struct(-F.col("count"), F.col("l"))).alias("l"))
-    got = spoken.limit(2 * sample_rows).toPandas().sort_values("t")
+    hashed = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
+    least = hashed.groupBy(F.pmod("h", F.lit(16 * sample_rows)).alias("bucket")).agg(F.min("h").alias("h"))
+    least = least.orderBy(F.xxhash64("h"), "h").limit(sample_rows).select("h")
+    # by the text alone, so that all labels a text was given come together
+    spoken = hashed.join(F.broadcast(least), "h").groupBy("t", "l").count().groupBy("t").agg(F.min_by("l", F.struct(-F.col("count"), F.col("l"))).alias("l"))
+    lines = spoken.select(F.explode(F.split("t", LINE_BREAK)).alias("t"), "l").filter(F.col("t").rlike(r"\S\s+\S+\s+\S"))
+    got = lines.toPandas().drop_duplicates().sort_values(["t", "l"])
     texts, labels = [letters_only(t) for t in got["t"]], list(got["l"])
     if not texts:
         return ContextTrees([], [], [], [], [])
@@ -186,10 +239,14 @@ def detect(rows: DataFrame, text: str, trees: ContextTrees) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(trees)  # bounded by the fitting sample
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model, known = shared.value, {}
         for values in batches:
             codes, distinct = pd.factorize(values)
-            scored = score_texts(model, list(distinct))
+            if len(known) > KNOWN:
+                known.clear()
+            new = [t for t in distinct if t not in known]
+            known.update(zip(new, score_texts(model, new), strict=True))
+            scored = [known[t] for t in distinct]
             yield pd.DataFrame([scored[c] if c >= 0 else (None, None) for c in codes], columns=["detected", "confidence"])
 
     udf = F.pandas_udf(score, "detected STRING, confidence DOUBLE")
@@ -198,7 +255,7 @@ def detect(rows: DataFrame, text: str, trees: ContextTrees) -> DataFrame:
 
 def message_lines(rows: DataFrame, text: str = "message") -> DataFrame:
     """One row per line: all columns but the text, `line_no` from 1, `line`, `n_words`. A null text has no lines."""
-    cut = rows.select(*[c for c in rows.columns if c != text], F.posexplode(F.split(text, r"\r\n|[\r\n\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]")).alias("line_no", "line"))
+    cut = rows.select(*[c for c in rows.columns if c != text], F.posexplode(F.split(text, LINE_BREAK)).alias("line_no", "line"))
     words = F.size(F.filter(F.split("line", WORD_GAP), lambda w: w != ""))
     return cut.withColumns({"line_no": F.col("line_no").cast("bigint") + 1, "n_words": words})
 

@@ -38,11 +38,23 @@ def _mixed_script(text: str) -> bool:
     return any(not w.isascii() and len(textform.scripts_of(w)) > 1 and not _TOGETHER.search(w) for w in _LETTERS.findall(plain))
 
 
+def plain_form(text: str) -> str:
+    """The one form of a text but for case and for what a writer sees as white space: odd spaces become plain ones, line breaks and tabs stay."""
+    if text.isascii() or textform.is_settled(text):
+        return text
+    form = textform.unify_scripts(unicodedata.normalize("NFKC", textform.strip_invisible(text)))
+    return _ODD_SPACE.sub(" ", form)
+
+
 def defects(text: str | None) -> list[str] | None:
-    """Kinds of characters that make a text differ from what it looks like; None for null, empty for none."""
+    """Kinds of characters that make a text differ from what it looks like; None for null, empty for none.
+
+    The form decides: a text that equals its `plain_form` has none. What the form changes is then told apart, since it also unfolds characters that are no
+    defect, such as fractions and raised digits. A word of two scripts is one even where no letter of the main script looks like its strange ones.
+    """
     if text is None:
         return None
-    if text.isascii():
+    if plain_form(text) == text and not _strange_word(text):
         return []
     found = [name for name, rx in (("full_width", _WIDE), ("ligature", _LIGATURE), ("space", _ODD_SPACE)) if rx.search(text)]
     if textform._INVISIBLE.search(text):
@@ -54,6 +66,10 @@ def defects(text: str | None) -> list[str] | None:
     return found
 
 
+def _strange_word(text: str) -> bool:
+    return not text.isascii() and not textform.is_settled(text) and _mixed_script(text)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _defects_udf(values: pd.Series) -> pd.Series:
     return per_distinct(values, defects)
@@ -74,5 +90,3 @@ def find_lookalikes(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def normalise(rows: DataFrame, fields: list[str]) -> DataFrame:
     """`rows` with `<field>_normal` for each field; null stays null, a blank text becomes empty."""
     return rows.withColumns({f"{f}_normal": normal_key(F.col(f)) for f in fields})
-
-

@@ -11,6 +11,7 @@ only texts that hold a digit, an at sign or two capitalised words; each distinct
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Container
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,8 +21,13 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import textform
 from chatloom.functions.textform import per_distinct
+from chatloom.session import materialize
 
 THRESHOLD = 0.5
+#: What a given name that people in the corpus bear adds to the score of a name.
+KNOWN_NAME = 0.35
+#: Given names that every task holds at most; rarer ones are joined to the texts whose names hang on them.
+SHARED_NAMES = 200_000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _SP = r"[ \n\t]"
@@ -58,11 +64,13 @@ AFTER = {"name": "yesterday will at en na am à से will's на ist está".sp
 AGAINST = {
     "number": "order parcel invoice flight room km inv trk booking-no ref version v pedido factura vuelo bestellung rechnung flug zimmer commande facture vol chambre vôo quarto заказ рейс комната".split(),
 }
+#: Articles, alone or grown together with a preposition, that stand before nouns and hardly before names.
+ARTICLES = set("the der die das dem den des ein eine einen einem einer im am zum zur vom beim".split())
 #: Capitalised words that begin a sentence or name a thing, not a given name.
 NOT_GIVEN = set(
-    "the a an my our his her their this that it if we you they i well just oh guess quick sorry by honestly please nobody did could let what no some any so and but or monsoon harbour calle plaza rua rue avenida am an der die das den dem des ein eine einen kiste meine mein unser der zug wenn ich wir es hat hast hat kannst bitte wie sag street road hill lane court row avenue town lake north south east west old new saint san santa flat house friday saturday sunday monday tuesday wednesday thursday january february march april may june july august september october november december si se por para mi nos el la los las un una le les je il elle on tu vous nous dis bon donc mon ma mes o os as eu ele ela você minha meu week dear hello hi log".split()
+ "the a an my our his her their this that it if we you they i well just oh guess quick sorry by honestly please nobody did could let what no some any so and but or calle plaza rua rue avenida am an der die das den dem des ein eine einen meine mein unser der wenn ich wir es hat hast hat kannst bitte wie sag street road hill lane court row avenue town lake north south east west old new saint san santa flat house friday saturday sunday monday tuesday wednesday thursday january february march april may june july august september october november december si se por para mi nos el la los las un una le les je il elle on tu vous nous dis bon donc mon ma mes o os as eu ele ela você minha meu week dear hello hi".split()
 )
-NOT_FAMILY = set("street road hill lane court row avenue drive line fest festival club group office team gym school class family chat bank station brot schwester zug the nobody just we if it they my please what friday saturday sunday monday tuesday wednesday thursday".split())
+NOT_FAMILY = set("street road hill lane court row avenue drive line fest festival club group office team gym school class family chat bank station the nobody just we if it they my please what friday saturday sunday monday tuesday wednesday thursday".split())
 
 
 def luhn(digits: str) -> bool:
@@ -159,7 +167,7 @@ def _number_kind(text: str, start: int, end: int) -> Span | None:
     return Span(start, end, "phone", phone) if phone >= identity else Span(start, end, "id_number", identity)
 
 
-def _name(text: str, m: regex.Match, given_names: frozenset[str]) -> Span | None:
+def _name(text: str, m: regex.Match, given_names: Container[str], open_names: set[str]) -> Span | None:
     start, end = m.span()
     given, family = m.group(1), m.group(2)
     ending = regex.search(r"['’]s?$", family)
@@ -169,20 +177,28 @@ def _name(text: str, m: regex.Match, given_names: frozenset[str]) -> Span | None
     if len(given) < 2 or len(family) < 2 or family.isupper() or given.lower() in NOT_GIVEN or family.lower() in NOT_FAMILY:
         return None
     score = 0.3
-    if given.lower() in given_names:
-        score += 0.35
     before, after = _words_before(text, start), _words_after(text, end)
+    known = given.lower() in given_names
+    if before[-1:] and before[-1] in ARTICLES and not known:
+        open_names.add(given.lower())
+        return None  # a noun, in a language that writes nouns with capitals
+    if known:
+        score += KNOWN_NAME
     if any(w in BEFORE["name"] for w in before[-2:]):
         score += 0.25
     if ending or (after[:1] and after[0] in AFTER["name"]):
         score += 0.15
     if regex.match(r" *\d", text[end:]):
         score -= 0.4
+    if score < THRESHOLD <= score + KNOWN_NAME and not known:
+        open_names.add(given.lower())
     return Span(start, end, "name", score) if score >= THRESHOLD else None
 
 
-def find_spans(text: str, given_names: frozenset[str] = frozenset()) -> list[tuple[str, str, int, int]]:
-    """(kind, piece, start, end) in order; spans don't overlap. Offsets are code points of the text."""
+def find_spans(text: str, given_names: Container[str] = frozenset(), open_names: set[str] | None = None) -> list[tuple[str, str, int, int]]:
+    """(kind, piece, start, end) in order; spans don't overlap. Offsets are code points of the text. `open_names` gets the given names, not among `given_names`,
+    that would make a name of what isn't one without."""
+    open_names = set() if open_names is None else open_names
     plain, at = shadow(text)
     links = [m.span() for m in LINK.finditer(plain)]
     spans = [Span(*m.span(), "email", 1.0) for m in EMAIL.finditer(plain)]
@@ -200,7 +216,7 @@ def find_spans(text: str, given_names: frozenset[str] = frozenset()) -> list[tup
         if found is None:
             continue
         spans.append(found)
-    spans += [s for m in NAME.finditer(plain, overlapped=True) if (s := _name(plain, m, given_names))]
+    spans += [s for m in NAME.finditer(plain, overlapped=True) if (s := _name(plain, m, given_names, open_names))]
     chosen: list[Span] = []
     for s in sorted(spans, key=lambda s: (-s.score, s.start, -s.end)):
         if all(s.end <= c.start or s.start >= c.end for c in chosen) and not any(s.start < b and s.end > a for a, b in links):
@@ -228,34 +244,65 @@ _SUSPECT = r"[\p{Nd}@\x{FF20}]|\p{Lu}[\p{L}\p{M}\p{Cf}'’-]*[\p{Z}\s\p{Cf}]+\p{
 FOUND = "ARRAY<STRUCT<kind: STRING, piece: STRING, start: INT, stop: INT>>"
 
 
-def known_given_names(senders: DataFrame, column: str = "sender", least: int = 2, most: int = 20_000) -> frozenset[str]:
-    """Given names that senders bear: the first word of `Given Family`, lower case. At most `most`, the most frequent; a list of
-    words for context scores, not data to be found."""
-    first = F.lower(F.regexp_extract(F.col(column), r"^\s*(\p{Lu}[\p{L}\p{M}]+)\s+\p{Lu}[\p{L}\p{M}]+\s*$", 1)).alias("w")
-    rows = senders.select(first).filter(F.col("w") != "").groupBy("w").count().filter(F.col("count") >= least)
-    return frozenset(r["w"] for r in rows.orderBy(F.desc("count"), "w").limit(most).collect()) - NOT_GIVEN
+def known_given_names(senders: DataFrame, column: str = "sender", least: int = 2) -> DataFrame:
+    """Given names that senders bear, `name` in lower case with its `count`: the first word of `Given Family` that stands in at least `least` rows."""
+    first = F.lower(F.regexp_extract(F.col(column), r"^\s*(\p{Lu}[\p{L}\p{M}]+)\s+\p{Lu}[\p{L}\p{M}]+\s*$", 1)).alias("name")
+    return senders.select(first).filter((F.col("name") != "") & ~F.col("name").isin(*sorted(NOT_GIVEN))).groupBy("name").count().filter(F.col("count") >= least)
 
 
-def find_pii(rows: DataFrame, text: str, given_names: frozenset[str] = frozenset()) -> DataFrame:
-    """`rows` with `found` (kind, piece, start, stop) for texts that hold an item; others, null and empty texts have none and are left out."""
-    shared = rows.sparkSession.sparkContext.broadcast(given_names)  # bounded by known_given_names
+_JUDGED = f"found {FOUND}, redacted STRING, open ARRAY<STRING>"
 
-    @F.pandas_udf(FOUND)
-    def udf(values: pd.Series) -> pd.Series:
-        names = shared.value
-        return per_distinct(values, lambda t: [dict(zip(("kind", "piece", "start", "stop"), s, strict=True)) for s in find_spans(t, names)])
 
-    suspects = rows.filter(F.col(text).rlike(_SUSPECT))
-    return suspects.withColumn("found", udf(F.col(text))).filter(F.size("found") > 0)
+def _judge(text: str | None, names: Container[str]) -> tuple:
+    missing: set[str] = set()
+    spans = find_spans(text, names, missing)
+    return [dict(zip(("kind", "piece", "start", "stop"), s, strict=True)) for s in spans], redact(text, spans), sorted(missing)
 
 
-def redact_column(rows: DataFrame, text: str, given_names: frozenset[str] = frozenset()) -> DataFrame:
-    """`rows` with `<text>_redacted`: typed placeholders for items, the rest as it stands; null stays null."""
-    shared = rows.sparkSession.sparkContext.broadcast(given_names)
+def _judged(rows: DataFrame, text: str, names: DataFrame | Container[str], most: int) -> DataFrame:
+    """`rows` with `_judged` (found, redacted). The most frequent names go to all tasks, `most` at most; the rest, if there are more, are joined by name to
+    the texts in which a name hangs on one of them, and these texts are read again."""
+    spark, rest = rows.sparkSession, None
+    if isinstance(names, DataFrame):
+        ordered = names.orderBy(F.desc("count"), "name")
+        shown = [r["name"] for r in ordered.limit(most + 1).collect()]
+        rest = ordered.offset(most).select("name") if len(shown) > most else None
+        names = frozenset(shown[:most])
+    shared = spark.sparkContext.broadcast(names)
+
+    @F.pandas_udf(_JUDGED)
+    def judge(values: pd.Series) -> pd.DataFrame:
+        known = shared.value
+        out = per_distinct(values, lambda t: _judge(t, known))
+        return pd.DataFrame([x if x is not None else (None, None, None) for x in out], columns=["found", "redacted", "open"])
+
+    judged = rows.withColumn("_judged", judge(F.when(F.col(text).rlike(_SUSPECT), F.col(text))))
+    if rest is None:
+        return judged
+
+    @F.pandas_udf(_JUDGED)
+    def again(values: pd.Series, more: pd.Series) -> pd.DataFrame:
+        known = shared.value
+        out = [(None, None, None) if t is None else _judge(t, known | set(extra)) for t, extra in zip(values, more, strict=True)]
+        return pd.DataFrame(out, columns=["found", "redacted", "open"])
+
+    judged = materialize(judged.withColumn("_uid", F.monotonically_increasing_id()), "judged")
+    told = judged.select("_uid", F.explode("_judged.open").alias("name")).join(rest, "name").groupBy("_uid").agg(F.collect_set("name").alias("_more"))
+    both = judged.join(told, "_uid", "left")
+    second = again(F.when(F.col("_more").isNotNull(), F.col(text)), F.coalesce("_more", F.array().cast("array<string>")))
+    return both.withColumn("_second", second).withColumn("_judged", F.when(F.col("_more").isNotNull(), F.col("_second")).otherwise(F.col("_judged"))).drop("_uid", "_more", "_second")
 
-    @F.pandas_udf("string")
-    def udf(values: pd.Series) -> pd.Series:
-        names = shared.value
-        return per_distinct(values, lambda t: redact(t, find_spans(t, names)))
 
-    return rows.withColumn(f"{text}_redacted", udf(F.col(text)))
+def find_pii(rows: DataFrame, text: str, given_names: DataFrame | Container[str] = frozenset(), most: int = SHARED_NAMES) -> DataFrame:
+    """`rows` with `found` (kind, piece, start, stop) for texts that hold an item; others, null and empty texts have none and are left out.
+
+    `given_names` is a set of lower-case names or a table of them (see `known_given_names`) of any size."""
+    suspects = rows.filter(F.col(text).rlike(_SUSPECT))
+    judged = _judged(suspects.drop("found"), text, given_names, most)
+    return judged.withColumn("found", F.col("_judged.found")).drop("_judged").filter(F.size("found") > 0)
+
+
+def redact_column(rows: DataFrame, text: str, given_names: DataFrame | Container[str] = frozenset(), most: int = SHARED_NAMES) -> DataFrame:
+    """`rows` with `<text>_redacted`: typed placeholders for items, the rest as it stands; null stays null."""
+    judged = _judged(rows, text, given_names, most)
+    return judged.withColumn(f"{text}_redacted", F.coalesce("_judged.redacted", F.col(text))).drop("_judged")

@@ -3,9 +3,8 @@
 Method: an ordered rule list induced by incremental reduced-error pruning on labelled documents, exported as one SQL CASE
 expression over the statistics and applied natively to every document. Only the fit looks at a bounded sample.
 
-The documents carry no labels of their kind. `seed_labels` gives them to documents whose form leaves no doubt, by
-marks that a reader goes by (bullets, aligned delimiters, sentence ends); doubtful ones stay unlabelled and take
-no part in the fit. The rules see the statistics only, and decide all documents.
+The documents carry no labels of their kind. What the rules learn from are documents made from messages by known changes (see `labelled`), so
+their labels owe nothing to the statistics; the rules see the statistics only, and decide all documents.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.llm import labelled
+
 # Frequent pronouns, auxiliaries, conjunctions and particles of the seven languages.
 GLUE = (
     "i you we he she it they is was are were be been have has had did do does will would can could should my your so if that what who and or but not "
@@ -43,6 +44,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the columns of STATISTICS (DOUBLE). A null or blank text has zeros throughout; a column of `docs` named like one is replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
+    # only texts that hold the mark are searched for lines of it
+    having = lambda mark, pattern: F.when(t.contains(mark), n(pattern)).otherwise(0.0)
     size = lambda kept: F.char_length(F.regexp_replace(t, rf"[^{kept}]+", "")).cast("double")
     base = {
         "_words": n(r"\S+"),
@@ -54,17 +57,19 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_marks": n(r"[.!?।…]+(?=\s|$)"),
         "_bullets": n(r"(?m)^[ \t]*(?:[-–•*·▪]|\[[ xX]?\]|\(?\d{1,3}[.)])[ \t]+\S"),
         "_speakers": n(r"(?m)^[ \t]*(?:\[\d{1,2}[:.]\d{2}[^\]\n]{0,8}\][ \t]*)?\p{Lu}[\p{L}\p{M} .'-]{0,30}:[ \t]+\S+[ \t]+\S|(?m)^[ \t]*\[\d{1,2}[:.]\d{2}\]"),
-        "_short": n(r"(?m)^[ \t]*(?:\S+[ \t]+){0,4}[^\s.!?।…]*[^\s.!?।…:][ \t]*$"),
-        "_tabs": n(r"(?m)^[^\t\n]*\t[^\n]*$"),
-        "_semis": n(r"(?m)^[^\n;]+;[^\n]*$"),
-        "_pipes": n(r"(?m)^[^\n|]*\|[^\n]*$"),
-        "_commas": n(rf"(?m)^{_CELL}(?:, ?{_CELL}){{2,}}$"),
-        "_columns": n(r"(?m)^[^\n]*?\S {2,}+\S[^\n]*+$"),
+        # what is possessive is tried once: no word is taken apart again where the rest of a line doesn't fit
+        "_short": n(r"(?m)^[ \t]*+(?:\S++[ \t]++(?=\S)){0,4}+[^\s.!?।…]++(?<!:)[ \t]*+$"),
+        "_tabs": having("\t", r"(?m)^[^\t\n]*+\t[^\n]*+$"),
+        "_semis": having(";", r"(?m)^[^\n;]++;[^\n]*+$"),
+        "_pipes": having("|", r"(?m)^[^\n|]*+\|[^\n]*+$"),
+        "_commas": having(",", rf"(?m)^{_CELL}(?:, ?{_CELL}){{2,}}$"),
+        "_columns": having("  ", r"(?m)^[^\n]*?\S {2,}+\S[^\n]*+$"),
         "_numbers": n(r"(?<![^\s,;|])[-+]?\d[\d.,:%/-]*(?![^\s,;|])"),
         "_separators": n(r" \| |; ?(?=\S)|\t"),
         "_clusters": n(r"[bcdfghjklmnpqrstvwxz]{5,}+[a-z]*+"),
         "_damage": n(r"\x{FFFD}|[ÃÂÐÑâà][\x{80}-\x{BF}€¤‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"),
-        "_long": n(r"[^\s\p{So}\x{200D}\x{FE0F}]{26,}"),
+        # cells of a row that are parted by marks alone are words of their own
+        "_long": n(r"(?<![^\s,;|\p{So}\x{200D}\x{FE0F}])[^\s,;|\p{So}\x{200D}\x{FE0F}]{26,}+"),
     }
     # word by word: the form of each word is looked up, no pattern runs over the text for it
     words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}'’]+"), lambda w: w != "")
@@ -94,29 +99,6 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({**base, "_w": words}).withColumns(by_word).select(*kept, *[F.round(v, 6).alias(k) for k, v in out.items()])
 
 
-def seed_labels() -> Column:
-    """Kind of a document whose form leaves no doubt, from its statistics; null for the rest."""
-    c = F.col
-    ruled = F.greatest("tab_share", "semicolon_share", "pipe_share", "comma_share", "column_share")
-    wordy = (c("speaker_share") >= 0.7) | (c("words_per_line") >= 7)
-    return (
-        F.when((c("damage_share") > 0.1) | (c("letter_share") < 0.15) & (c("digit_share") < 0.2) | (c("long_word_share") > 0.5), "junk")
-        .when((c("repeat_share") > 0.5) | (c("cluster_share") > 0.4), "junk")
-        .when((c("n_lines") <= 2) & (c("pipe_share") >= 0.5) & (c("separator_rate") > 0.25), "junk")
-        .when((c("n_lines") >= 2) & (ruled >= 0.8) & (c("number_share") + c("digit_share") >= 0.25) & (c("end_mark_share") < 0.3), "table")
-        .when((c("n_lines") >= 3) & (c("bullet_share") >= 0.7) & (c("words_per_line") < 7), "list")
-        .when((c("n_lines") >= 4) & (c("short_line_share") >= 0.7) & (c("speaker_share") < 0.2) & (c("end_mark_share") < 0.2) & (c("common_word_share") < 0.25), "list")
-        .when((c("n_lines") <= 2) & (c("semicolon_share") >= 0.5) & (c("separator_rate") > 0.2) & (c("digit_share") < 0.15), "list")
-        .when((c("n_words") >= 8) & (c("marks_per_word") == 0) & (c("common_word_share") < 0.08) & (c("letter_share") > 0.97) & (c("words_per_line") > 7) & (c("needy_pair_share") > 0.01), "junk")
-        .when((c("marks_per_word") == 0) & (c("common_word_share") < 0.15) & (c("letter_share") > 0.97) & (c("needy_pair_share") >= 0.1), "junk")
-        .when((c("speaker_share") >= 0.5) & (c("words_per_line") >= 4) & (c("letter_share") > 0.75), "prose")
-        .when((c("words_per_line") >= 7) & (c("common_word_share") >= 0.1) & (c("needy_pair_share") < 0.1) & (c("letter_share") > 0.85) & (c("separator_rate") < 0.05), "prose")
-        .when((c("end_mark_share") >= 0.5) & (c("common_word_share") >= 0.15) & (c("bullet_share") < 0.2) & (c("letter_share") > 0.85), "prose")
-        .when((c("end_mark_share") >= 0.5) & (c("letter_share") > 0.7) & (c("number_share") < 0.4) & (c("words_per_line") >= 5) & (c("bullet_share") < 0.2) & (c("separator_rate") < 0.05) & (c("damage_share") == 0), "prose")
-        .when(wordy & (c("common_word_share") >= 0.2) & (c("letter_share") > 0.8), "prose")
-    )
-
-
 @dataclass(frozen=True)
 class Test:
     column: int
@@ -215,14 +197,17 @@ def to_case(rules: list[Rule], default: str = "prose") -> str:
     return f"CASE {body} ELSE '{default}' END" if rules else f"'{default}'"
 
 
-def fit_rules(stats: DataFrame, sample_docs: int = 20_000, key: str = "doc_id") -> list[Rule]:
-    """Rules from at most about `sample_docs` labelled documents, chosen by a hash of their statistics; the fit alone is bounded."""
-    labelled = stats.withColumn("_kind", seed_labels()).filter(F.col("_kind").isNotNull())
-    share = min(1.0, sample_docs / max(stats.count(), 1))
-    picked = labelled.filter(F.pmod(F.xxhash64(*STATISTICS), F.lit(1_000_000)) < int(share * 1_000_000)).select(*STATISTICS, "_kind")
-    got = picked.limit(2 * sample_docs).toPandas()
-    got = got.sort_values([*STATISTICS, "_kind"])
-    return induce_rules(got[STATISTICS].to_numpy(float), got["_kind"].to_numpy())
+def fit_rules(stats: DataFrame, kind: str = "kind") -> list[Rule]:
+    """Rules from labelled documents (STATISTICS and `kind`), all of which pass through the driver: the caller bounds their number."""
+    got = stats.select(*STATISTICS, kind).toPandas().sort_values([*STATISTICS, kind])
+    return induce_rules(got[STATISTICS].to_numpy(float), got[kind].to_numpy())
+
+
+def learned_rules(messages: DataFrame, sample_rows: int = 4000, made: int = 10_000, seed: int = 11) -> list[Rule]:
+    """Rules from `made` documents made from at most `sample_rows` messages; the fit alone is bounded. Without messages there are no rules."""
+    spark = messages.sparkSession
+    made_of = labelled.labelled_documents(labelled.sample_messages(messages, sample_rows), made, seed)
+    return fit_rules(statistics(spark.createDataFrame(made_of, "text STRING, kind STRING"))) if made_of else []
 
 
 def classify(stats: DataFrame, rules: list[Rule]) -> DataFrame:

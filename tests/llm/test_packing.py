@@ -21,6 +21,24 @@ def test_bounds_are_optimal():
         assert len(got) <= 3 and padding(lengths, counts, got) == best
 
 
+def test_bounds_of_many_lengths():
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 3000, 700))
+    counts = rng.integers(1, 50, len(lengths))
+    got = bucket_bounds(lengths, counts, 12)
+    # the plain recurrence
+    c, t = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    cost = lengths * c[1:] - t[1:]
+    for _ in range(11):
+        cost = np.array([min([0, *cost[:j]][i] + lengths[j] * (c[j + 1] - c[i]) - (t[j + 1] - t[i]) for i in range(j + 1)) for j in range(len(lengths))])
+    assert len(got) <= 12 and padding(lengths, counts, got) == cost[-1]
+
+
+def test_batches_of_one_bucket():
+    plan = plan_batches([3, 5, 8], [7, 4, 2], 16, mix=False)
+    assert all(len(p.slots) == 1 for p in plan) and sum(p.copies for p in plan) == 2 + 2 + 1
+
+
 def test_plan_uses_every_slot():
     plan = plan_batches([3, 5, 8], [7, 4, 2], 16)
     used = {b: sum(p.slots.get(b, 0) * p.copies for p in plan) for b in range(3)}

@@ -1,6 +1,6 @@
 import pytest
 
-from chatloom.llm.pii import find_pii, find_spans, luhn, mod97, redact, redact_column, verhoeff
+from chatloom.llm.pii import find_pii, find_spans, known_given_names, luhn, mod97, redact, redact_column, verhoeff
 
 NAMES = frozenset({"ana", "bruno"})
 CASES = [
@@ -45,3 +45,15 @@ def test_rows(spark):
     assert clean[1] == "call [PHONE] or [EMAIL] now" and clean[2] == "nothing here" and clean[3] is None and clean[4] == ""
     assert redact("ana", []) == "ana"
     assert find_pii(df.limit(0), "text").count() == 0
+
+
+def test_rare_names_are_joined(spark):
+    people = [(n,) for n in ("Ana Lopez", "Ana Silva", "Bruno Costa", "Bruno Dias", "Ana Reis", "Once Only")]
+    names = known_given_names(spark.createDataFrame(people, "sender STRING"))
+    rows = [(1, "saw Bruno Tordeshi, then Ana Tordeshi"), (2, "saw Bruno Tordeshi and Once Seldom"), (3, "nobody"), (4, None), (2, "saw Bruno Tordeshi and Once Seldom")]
+    df = spark.createDataFrame(rows, "id INT, text STRING")
+    whole = {(r["id"], r["text_redacted"]) for r in redact_column(df, "text", names).collect()}
+    assert whole == {(1, "saw [NAME], then [NAME]"), (2, "saw [NAME] and Once Seldom"), (3, "nobody"), (4, None)}
+    for most in (0, 1):
+        assert {(r["id"], r["text_redacted"]) for r in redact_column(df, "text", names, most).collect()} == whole
+        assert sorted(r["id"] for r in find_pii(df, "text", names, most).collect()) == [1, 2, 2]
