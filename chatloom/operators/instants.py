@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import stamps
-from chatloom.session import checked_broadcast, set_aside
+from chatloom.session import checked_broadcast, set_aside, settled
 
 ORDERS = ("dmy", "mdy", "ymd")
 #: How usual each order is before a source's own values speak; a two-digit year in front is rare.
@@ -37,18 +37,11 @@ def _let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """`df` with columns as a generated row: each is computed once, however often later steps use it, since Spark doesn't unfold a
-    generator into them as it would unfold a projection."""
-    old = [c for c in df.columns if c not in columns]
-    return df.select(*old, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
-
-
 def _numbers(cleaned: DataFrame) -> DataFrame:
     """Rows with a cleaned date `_d`, with its parts `_dp` and their numbers `_n1`, `_n2`, `_n3`."""
-    cut = _settled(cleaned, {"_dp": stamps.date_parts(F.col("_d"))})
+    cut = settled(cleaned, {"_dp": stamps.date_parts(F.col("_d"))})
     part = lambda i: F.get("_dp", F.lit(i))
-    return _settled(cut, {"_n1": stamps.whole(part(1)), "_n2": stamps.month_number(part(2)), "_n3": stamps.whole(part(3))})
+    return settled(cut, {"_n1": stamps.whole(part(1)), "_n2": stamps.month_number(part(2)), "_n3": stamps.whole(part(3))})
 
 
 def order_posteriors(
@@ -69,7 +62,7 @@ def order_posteriors(
     without such values has no row.
     """
     days = _possible(stamps.ordered_days(F.col("n1"), F.col("n2"), F.col("n3")), F.col("_exported_day"))
-    seen = _settled(numbers.filter(F.col("n1").isNotNull()), {f"_{k}": v for k, v in days.items()})
+    seen = settled(numbers.filter(F.col("n1").isNotNull()), {f"_{k}": v for k, v in days.items()})
     seen = seen.withColumn("_mask", _mask({o: F.col(f"_{o}") for o in ORDERS}))
     state = seen.groupBy(source).agg(
         F.array(*[F.count_if(F.col("_mask") == m) if m else F.lit(0) for m in range(8)]).alias("_n"),
@@ -137,25 +130,25 @@ def resolve_instants(
     # only sources that don't state their order need counts and iterations, so only their dates are read for them
     silent = known.filter(~F.coalesce(F.col("_order").isin(*ORDERS), F.lit(False))).select("_src", "_exported_day")
     dates = rows.select(F.col(source).alias("_src"), F.col(date).alias("_date")).join(checked_broadcast(silent, n_exports), "_src")
-    numbers = _numbers(_settled(dates, {"_d": stamps.clean_stamp(F.col("_date"))}))
+    numbers = _numbers(settled(dates, {"_d": stamps.clean_stamp(F.col("_date"))}))
     post = order_posteriors(numbers.filter(F.col("_dp")[0] == "numeric").select("_src", "_exported_day", *[F.col(f"_n{i}").alias(f"n{i}") for i in (1, 2, 3)]), "_src")
     context = checked_broadcast(known.join(post, "_src", "left"), n_exports)
-    parsed = _numbers(_settled(rows, {"_d": stamps.clean_stamp(F.col(date)), "_t": stamps.clean_stamp(F.col(time)), "_src": F.col(source)}))
-    parsed = _settled(parsed, {"_shape": F.when(F.size("_dp") > 1, F.col("_dp")[0]), "_tp": stamps.clock_parts(F.col("_t"))})
+    parsed = _numbers(settled(rows, {"_d": stamps.clean_stamp(F.col(date)), "_t": stamps.clean_stamp(F.col(time)), "_src": F.col(source)}))
+    parsed = settled(parsed, {"_shape": F.when(F.size("_dp") > 1, F.col("_dp")[0]), "_tp": stamps.clock_parts(F.col("_t"))})
     df = parsed.join(context, "_src", "left")
 
     # numbers that a shape fixes in order are no choice of orders
-    df = _settled(df, {f"_day_{o}": v for o, v in stamps.ordered_days(F.col("_n1"), F.col("_n2"), F.col("_n3")).items()})
+    df = settled(df, {f"_day_{o}": v for o, v in stamps.ordered_days(F.col("_n1"), F.col("_n2"), F.col("_n3")).items()})
     numeric = F.coalesce(F.col("_shape") == "numeric", F.lit(False))
-    df = _settled(df, {"_mask": F.when(numeric, _mask(_possible({o: F.col(f"_day_{o}") for o in ORDERS}, F.col("_exported_day")))).otherwise(0)})
+    df = settled(df, {"_mask": F.when(numeric, _mask(_possible({o: F.col(f"_day_{o}") for o in ORDERS}, F.col("_exported_day")))).otherwise(0)})
     df = df.withColumn("_p", F.coalesce(F.col("_em_posterior")[F.col("_mask")], F.struct(*[F.lit(0.0).alias(o) for o in ORDERS])))
     best = F.greatest(*[F.col("_p")[o] for o in ORDERS])
-    df = _settled(df, {"_guess": F.when(best == F.col("_p.dmy"), "dmy").when(best == F.col("_p.mdy"), "mdy").otherwise("ymd")})
-    df = _settled(df, {"_guessed": F.when(F.col("_guess") == "dmy", F.col("_day_dmy")).when(F.col("_guess") == "mdy", F.col("_day_mdy")).otherwise(F.col("_day_ymd"))})
+    df = settled(df, {"_guess": F.when(best == F.col("_p.dmy"), "dmy").when(best == F.col("_p.mdy"), "mdy").otherwise("ymd")})
+    df = settled(df, {"_guessed": F.when(F.col("_guess") == "dmy", F.col("_day_dmy")).when(F.col("_guess") == "mdy", F.col("_day_mdy")).otherwise(F.col("_day_ymd"))})
     # orders that name the same day agree
-    df = _settled(df, {"_best": sum((F.when(F.col(f"_day_{o}") == F.col("_guessed"), F.col("_p")[o]).otherwise(0.0) for o in ORDERS), F.lit(0.0))})
+    df = settled(df, {"_best": sum((F.when(F.col(f"_day_{o}") == F.col("_guessed"), F.col("_p")[o]).otherwise(0.0) for o in ORDERS), F.lit(0.0))})
     stated = F.col("_order").isin(*ORDERS)
-    df = _settled(
+    df = settled(
         df,
         {
             "stamp_order": F.when(numeric, F.when(stated, F.col("_order")).when((F.col("_mask") > 0) & (F.col("_best") >= certain), F.col("_guess"))),
@@ -171,21 +164,21 @@ def resolve_instants(
     # the parts of the clock, from the date where it holds them
     clock = F.when(iso, F.array(F.col("_dp")[4], F.col("_dp")[5], F.col("_dp")[6], F.lit(""), F.col("_dp")[7])).otherwise(F.col("_tp"))
     stated_zone = F.when(iso & (F.col("_dp")[7] == ""), F.coalesce(F.col("_tp")[4], F.lit(""))).otherwise(clock[4])
-    df = _settled(df, {"_day": day, "_clock": clock, "_z": stated_zone})
-    df = _settled(df, {"_op": F.when(F.col("_z") != "", stamps.offset_parts(F.col("_z")))})
+    df = settled(df, {"_day": day, "_clock": clock, "_z": stated_zone})
+    df = settled(df, {"_op": F.when(F.col("_z") != "", stamps.offset_parts(F.col("_z")))})
     part = lambda i: stamps.whole(F.col("_clock")[i])
-    df = _settled(df, {"_second": stamps.second_of_day(part(0), part(1), part(2), F.col("_clock")[3]), "_offset": F.when(F.col("_z") != "", stamps.offset_seconds(F.col("_z"), F.col("_op")))})
+    df = settled(df, {"_second": stamps.second_of_day(part(0), part(1), part(2), F.col("_clock")[3]), "_offset": F.when(F.col("_z") != "", stamps.offset_seconds(F.col("_z"), F.col("_op")))})
     # a zone that is written but unknown makes the time unreadable
     df = df.withColumn("_second", F.when((F.col("_z") == "") | F.col("_offset").isNotNull(), F.col("_second")))
-    df = _settled(df, {"_wall": F.col("_day") * 86400 + F.col("_second")})
+    df = settled(df, {"_wall": F.col("_day") * 86400 + F.col("_second")})
     zoned = F.col("_offset").isNull() & F.col("_wall").isNotNull() & F.col("_zone").isNotNull()
     early = F.when(zoned, stamps.zone_offset(F.col("_zone"), F.col("_wall") - 86400))
     late = F.when(zoned, stamps.zone_offset(F.col("_zone"), F.col("_wall") + 86400))
-    df = _settled(df, {"_o1": early, "_o2": late})
+    df = settled(df, {"_o1": early, "_o2": late})
     # a wall time near a change of the clock: an offset holds if the zone has it at that instant
     near = F.col("_o1") != F.col("_o2")
     holds = lambda o: F.when(~near, F.lit(True)).otherwise(stamps.zone_offset(F.col("_zone"), F.col("_wall") - F.col(o)) == F.col(o))
-    df = _settled(df, {"_h1": F.when(zoned, holds("_o1")), "_h2": F.when(zoned, holds("_o2"))})
+    df = settled(df, {"_h1": F.when(zoned, holds("_o1")), "_h2": F.when(zoned, holds("_o2"))})
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     number_of = F.when(count, F.col("_d").cast("bigint"))
     written = F.when(F.length("_d") >= 12, F.floor(number_of / 1000)).otherwise(number_of)

@@ -8,10 +8,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: dict[str, list[str]] = {}
+
+
 def build_session(app: str = "chatloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; cluster settings given from outside win."""
     builder = SparkSession.builder.appName(app)
@@ -61,7 +64,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/chatloom-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/chatloom-{name}-{uuid.uuid4().hex[:12]}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete what this session wrote below the shared folder for intermediate results, and say how many folders; DataFrames read from them end with it."""
+    gone = 0
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -80,6 +94,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with columns as a generated row: each is computed once, however often later steps and filters use it, since Spark doesn't unfold a
+    generator into them as it would unfold a projection."""
+    old = [c for c in df.columns if c not in columns]
+    return df.select(*old, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """`df` with columns whose names begin with `_` renamed, and the way back: operators keep such names for themselves."""
     back = {f"kept__{i}": c for i, c in enumerate(df.columns) if c.startswith("_")}
