@@ -120,7 +120,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.learned_rules(table(spark, sf_dir, "messages"))
-    return quality.classify(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), rules)
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

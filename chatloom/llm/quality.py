@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm import labelled
+from chatloom.session import settled
 
 # Frequent pronouns, auxiliaries, conjunctions and particles of the seven languages.
 GLUE = (
@@ -40,8 +41,8 @@ STATISTICS = [
 ]
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the columns of STATISTICS (DOUBLE). A null or blank text has zeros throughout; a column of `docs` named like one is replaced."""
+def statistics(docs: DataFrame, text: str = "text", wanted: list[str] | None = None) -> DataFrame:
+    """`docs` with the columns of STATISTICS (DOUBLE), or those `wanted` alone, for which alone the text is searched. A null or blank text has zeros throughout; a column of `docs` named like one is replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     n = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
     # only texts that hold the mark are searched for lines of it
@@ -64,12 +65,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_pipes": having("|", r"(?m)^[^\n|]*+\|[^\n]*+$"),
         "_commas": having(",", rf"(?m)^{_CELL}(?:, ?{_CELL}){{2,}}$"),
         "_columns": having("  ", r"(?m)^[^\n]*?\S {2,}+\S[^\n]*+$"),
-        "_numbers": n(r"(?<![^\s,;|])[-+]?\d[\d.,:%/-]*(?![^\s,;|])"),
+        "_numbers": F.when(~t.rlike("[0-9]"), 0.0).otherwise(n(r"(?<![^\s,;|])[-+]?\d[\d.,:%/-]*(?![^\s,;|])")),
         "_separators": n(r" \| |; ?(?=\S)|\t"),
         "_clusters": n(r"[bcdfghjklmnpqrstvwxz]{5,}+[a-z]*+"),
         "_damage": n(r"\x{FFFD}|[ÃÂÐÑâà][\x{80}-\x{BF}€¤‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"),
         # cells of a row that are parted by marks alone are words of their own
-        "_long": n(r"(?<![^\s,;|\p{So}\x{200D}\x{FE0F}])[^\s,;|\p{So}\x{200D}\x{FE0F}]{26,}+"),
+        "_long": F.when(t.rlike(r"[^\s,;|]{26}"), n(r"[^\s,;|\p{So}\x{200D}\x{FE0F}]{26,}+")).otherwise(0.0),
     }
     # word by word: the form of each word is looked up, no pattern runs over the text for it
     words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}'’]+"), lambda w: w != "")
@@ -82,21 +83,32 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_repeats": F.size(follows(lambda a, b: F.coalesce(a == b, F.lit(False)))).cast("double"),
         "_distinct": F.size(F.array_distinct(w)).cast("double"),
     }
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    out = {
-        "n_words": F.col("_words"), "n_lines": F.col("_lines"), "mean_word_length": per("_solid", "_words"), "words_per_line": per("_words", "_lines"),
-        "letter_share": per("_letters", "_solid"), "digit_share": per("_digits", "_solid"),
-        "symbol_share": F.when(F.col("_solid") > 0, 1 - (F.col("_letters") + F.col("_digits")) / F.col("_solid")).otherwise(0.0),
-        "end_mark_share": per("_ends", "_lines"), "marks_per_word": per("_marks", "_words"), "bullet_share": per("_bullets", "_lines"),
-        "speaker_share": per("_speakers", "_lines"), "short_line_share": per("_short", "_lines"), "tab_share": per("_tabs", "_lines"),
-        "semicolon_share": per("_semis", "_lines"), "pipe_share": per("_pipes", "_lines"), "comma_share": per("_commas", "_lines"),
-        "column_share": per("_columns", "_lines"), "number_share": per("_numbers", "_words"), "separator_rate": per("_separators", "_words"),
-        "common_word_share": per("_common", "_tokens"), "needy_pair_share": per("_needy", "_tokens"), "repeat_share": per("_repeats", "_tokens"),
-        "distinct_share": per("_distinct", "_tokens"),
-        "cluster_share": per("_clusters", "_words"), "damage_share": per("_damage", "_solid"), "long_word_share": per("_long", "_words"),
+    parts = {
+        "n_words": ["_words"], "n_lines": ["_lines"], "mean_word_length": ["_solid", "_words"], "words_per_line": ["_words", "_lines"], "letter_share": ["_letters", "_solid"],
+        "digit_share": ["_digits", "_solid"], "symbol_share": ["_letters", "_digits", "_solid"], "end_mark_share": ["_ends", "_lines"], "marks_per_word": ["_marks", "_words"],
+        "bullet_share": ["_bullets", "_lines"], "speaker_share": ["_speakers", "_lines"], "short_line_share": ["_short", "_lines"], "tab_share": ["_tabs", "_lines"],
+        "semicolon_share": ["_semis", "_lines"], "pipe_share": ["_pipes", "_lines"], "comma_share": ["_commas", "_lines"], "column_share": ["_columns", "_lines"],
+        "number_share": ["_numbers", "_words"], "separator_rate": ["_separators", "_words"], "common_word_share": ["_common", "_tokens"], "needy_pair_share": ["_needy", "_tokens"],
+        "repeat_share": ["_repeats", "_tokens"], "distinct_share": ["_distinct", "_tokens"], "cluster_share": ["_clusters", "_words"], "damage_share": ["_damage", "_solid"],
+        "long_word_share": ["_long", "_words"],
     }
+    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    out = {k: F.col(p[0]) if len(p) == 1 else per(*p) for k, p in parts.items() if len(p) < 3}
+    out["symbol_share"] = F.when(F.col("_solid") > 0, 1 - (F.col("_letters") + F.col("_digits")) / F.col("_solid")).otherwise(0.0)
+    wanted = STATISTICS if wanted is None else wanted
     kept = [c for c in docs.columns if c not in STATISTICS]
-    return docs.withColumns({**base, "_w": words}).withColumns(by_word).select(*kept, *[F.round(v, 6).alias(k) for k, v in out.items()])
+    used = {p for name in wanted for p in parts[name]}
+    counted = {k: v for k, v in base.items() if k in used}
+    out_of = docs
+    if used & set(by_word):
+        # the words once, then what is counted of them
+        out_of = settled(out_of, {"_w": words})
+        counted |= {k: v for k, v in by_word.items() if k in used}
+    # two at a time: the loop over matches is generated code, and a method that holds many such loops is too large for the JVM to compile
+    names = list(counted)
+    for i in range(0, len(names), 2):
+        out_of = settled(out_of, {k: counted[k] for k in names[i : i + 2]})
+    return out_of.select(*kept, *[F.round(out[k], 6).alias(k) for k in wanted])
 
 
 @dataclass(frozen=True)
@@ -211,5 +223,11 @@ def learned_rules(messages: DataFrame, sample_rows: int = 4000, made: int = 10_0
 
 
 def classify(stats: DataFrame, rules: list[Rule]) -> DataFrame:
-    """`stats` with `kind`; a document without any words is junk if it has a text, and prose if it is null or blank (nothing to tell)."""
-    return stats.withColumn("kind", F.expr(to_case(rules)))
+    """`stats` with `kind`; a document without any words is judged by its zeros like any other."""
+    return settled(stats, {"kind": F.expr(to_case(rules))})
+
+
+def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """`docs` with `kind`, for which only the statistics that the rules name are counted."""
+    named = {STATISTICS[t.column] for r in rules for t in r.tests}
+    return classify(statistics(docs, text, [c for c in STATISTICS if c in named]), rules).drop(*named)

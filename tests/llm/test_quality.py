@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from chatloom.llm import labelled
-from chatloom.llm.quality import STATISTICS, classify, fit_rules, induce_rules, learned_rules, statistics, to_case
+from chatloom.llm.quality import STATISTICS, classify, fit_rules, induce_rules, judge, learned_rules, statistics, to_case
 
 PROSE = ["We should meet near the old mill before it starts, what do you think?", "I left the keys at home. It was late and we had to wait.", "Ana: I am on my way\nBob: will you be there before six?"]
 LISTS = ["- milk\n- rice\n- two towels\n- soap", "1. milk\n2. rice\n3. soap\n4. rope", "milk\nrice\ntwo towels\nsoap\nrope"]
@@ -40,6 +40,7 @@ def test_held_out_accuracy(spark):
     other = classify(statistics(made(2, 700).withColumnRenamed("kind", "want")), rules).collect()
     assert sum(r["kind"] == r["want"] for r in other) / len(other) > 0.95
     kinds = {"prose": PROSE, "list": LISTS, "table": TABLES, "junk": JUNK}
+    assert [r["kind"] for r in judge(made(3, 200).select("text"), rules).collect()] == [r["kind"] for r in classify(statistics(made(3, 200).select("text")), rules).collect()]
     by_hand = spark.createDataFrame([(t, k) for k, texts in kinds.items() for t in texts], "text STRING, want STRING")
     assert sum(r["kind"] == r["want"] for r in classify(statistics(by_hand), rules).collect()) >= 10
 
