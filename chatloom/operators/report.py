@@ -136,14 +136,24 @@ def _word_order(keys: list[str]) -> list[Column]:
 
 def top_words(m: DataFrame, k: int = 20) -> DataFrame:
     found = _counted(m, ["chat_id"], ct.words(F.col("message")), "word")
-    total = F.sum("n").over(Window.partitionBy("chat_id"))
-    ranked = top(found.withColumn("total_words", total), ["chat_id"], _word_order(["chat_id"]), k)
+    # the total is joined: as a window over the vocabulary of a chat it would keep Spark from limiting before it shuffles
+    total = found.groupBy("chat_id").agg(F.sum("n").alias("total_words"))
+    ranked = top(found, ["chat_id"], _word_order(["chat_id"]), k).join(total, "chat_id")
     return ranked.select("chat_id", "rank", "word", "n", "total_words")
 
 
+def word_cloud(m: DataFrame, k: int = 24) -> DataFrame:
+    """The first `k` words with their size against the most frequent one."""
+    found = top_words(m, k)
+    return found.select("chat_id", "rank", "word", F.round(F.col("n") / F.max("n").over(Window.partitionBy("chat_id")), 6).alias("scale"))
+
+
 def words_by_person(m: DataFrame, k: int = 10) -> DataFrame:
     found = _counted(m, ["chat_id", "sender"], ct.words(F.col("message")), "word")
-    return top(found, ["chat_id", "sender"], _word_order([]), k).select("chat_id", "sender", "rank", "word", "n")
+    ranked = top(found, ["chat_id", "sender"], _word_order([]), k).groupBy("chat_id", "sender").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("words"))
+    # who said no word that counts has an empty list
+    everyone = m.select("chat_id", "sender").distinct().join(ranked, ["chat_id", "sender"], "left")
+    return everyone.select("chat_id", "sender", F.explode_outer("words").alias("w")).select("chat_id", "sender", "w.rank", "w.word", "w.n")
 
 
 def replies(m: DataFrame) -> DataFrame:
@@ -299,3 +309,54 @@ def highlights(m: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def month_rhythm(m: DataFrame, last: int = 12) -> DataFrame:
+    """The `last` months with messages of each chat, in per cent of the busiest of them."""
+    months = by_month(m).select("chat_id", "month", "messages")
+    kept = top(months, ["chat_id"], [F.desc("month")], last, "back")
+    most = F.max("messages").over(Window.partitionBy("chat_id"))
+    return kept.select("chat_id", "month", "messages", F.floor(100.0 * F.col("messages") / most + 0.5).alias("percent"))
+
+
+def records(m: DataFrame) -> DataFrame:
+    """Superlatives of a chat as rows of chat_id, record, holder, value: most active weekday and busiest month (what occurred first of equals), who replies fastest on the mean."""
+    told = m.filter(F.col("ts").isNotNull())
+    of = lambda name, key: top(told.groupBy("chat_id", key.alias("holder")).agg(F.count("*").alias("n"), F.min("msg_id").alias("first")), ["chat_id"], [F.desc("n"), F.col("first")], 1).select("chat_id", F.lit(name).alias("record"), "holder", F.col("n").cast("double").alias("value"))
+    fastest = top(response_stats(m), ["chat_id"], [F.col("average_minutes"), F.col("sender")], 1).select("chat_id", F.lit("fastest_responder").alias("record"), F.col("sender").alias("holder"), F.col("average_minutes").alias("value"))
+    return of("weekday", F.date_format("ts", "EEEE")).unionByName(of("month", F.date_format("ts", "yyyy-MM"))).unionByName(fastest)
+
+
+def minutes_text(col: Column) -> Column:
+    """Minutes as people say them: seconds under one, hours and minutes from sixty on; N/A for null."""
+    whole = lambda c: F.floor(c + 0.5).cast("bigint").cast("string")
+    rest = F.floor(col % 60 + 0.5)
+    hours = F.concat(F.floor(col / 60).cast("bigint").cast("string"), F.lit(" hr"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("bigint").cast("string"), F.lit(" min"))).otherwise(""))
+    return F.when(col.isNull(), "N/A").when(col < 1, F.concat(whole(col * 60), F.lit(" sec"))).when(col < 60, F.concat(whole(col), F.lit(" min"))).otherwise(hours)
+
+
+def tiles(m: DataFrame) -> DataFrame:
+    """What a card about a chat shows, as rows of chat_id, tile, value, sub; a tile without data is absent. Names are first names."""
+    first_name = lambda c: F.split(F.trim(c), r"\s+")[0]
+    none = F.lit(None).cast("string")
+    row = lambda df, tile, value, sub=none: df.select("chat_id", F.lit(tile).alias("tile"), value.cast("string").alias("value"), sub.alias("sub"))
+    view = overview(m).join(most_talkative(m).select("chat_id", "sender"), "chat_id")
+    fastest = top(response_stats(m).filter("average_minutes > 0"), ["chat_id"], [F.col("average_minutes"), F.col("sender")], 1)
+    starter = top(conversation_starters(m), ["chat_id"], [F.desc("starts"), F.col("sender")], 1)
+    parts = [
+        row(view, "people", F.col("participants"), F.concat(F.lit("most messages: "), first_name(F.col("sender")))),
+        row(view.filter("duration_days > 0"), "days", F.format_number("duration_days", 0), F.concat_ws(" to ", "first_date", "last_date")),
+        row(night_share(m), "peak_hour", F.concat_ws(" to ", F.col("peak_hour").cast("string"), (F.col("peak_hour") + 1).cast("string"))),
+        row(fastest, "fastest_reply", first_name(F.col("sender")), minutes_text(F.col("average_minutes"))),
+        row(top_emojis(m, 1), "emoji", F.col("emoji"), F.concat(F.format_number("n", 0), F.lit(" times"))),
+        row(starter, "starter", first_name(F.col("sender")), F.concat(F.lit("starts "), F.col("percentage").cast("string"), F.lit("% of conversations"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def aliased(m: DataFrame) -> DataFrame:
+    """Messages with aliases for senders, so that every section over them names nobody."""
+    return m.join(aliases(m), ["chat_id", "sender"]).drop("sender").withColumnRenamed("alias", "sender")

@@ -74,29 +74,6 @@ def bm25(m: DataFrame, terms: list[str]) -> DataFrame:
     return both.groupBy("chat_id", "msg_id").agg(F.sum(F.greatest(F.lit(0.0), idf * norm)).alias("score"), F.count("*").alias("matched"))
 
 
-def evidence(m: DataFrame, question: str, limit: int = 30, context: int = 1) -> DataFrame:
-    """The best messages of each chat for a question, with their neighbours: chat_id, msg_id, score, is_anchor.
-
-    Score: 14 x BM25, 32 for each pair of neighbouring question words found side by side, 16 from two different words on and 24 more from three, all
-    times the quality of the message. Up to six anchors, at least a fifth of the best score, bring `context` messages on both sides.
-    """
-    terms = question_terms(question)
-    if not terms:
-        return m.limit(0).select("chat_id", "msg_id", F.lit(0.0).alias("score"), F.lit(False).alias("is_anchor"))
-    scored = bm25(m, terms).join(m.select("chat_id", "msg_id", "message"), ["chat_id", "msg_id"])
-    low = F.lower(ct.normal_chat(F.col("message")))
-    phrases = sum((F.when(F.contains(low, F.lit(f"{a} {b}")), 32.0).otherwise(0.0) for a, b in zip(terms, terms[1:], strict=False)), F.lit(0.0))
-    many = F.when(F.col("matched") >= 3, 40.0).when(F.col("matched") >= 2, 16.0).otherwise(0.0)
-    total = (F.col("score") * 14 + phrases + many) * ct.quality(F.col("message"))
-    kept = top(scored.withColumn("score", total).filter("score > 1.5"), ["chat_id"], [F.desc("score"), F.col("msg_id")], limit)
-    best = F.max("score").over(Window.partitionBy("chat_id"))
-    marked = kept.withColumn("is_anchor", (F.col("rank") <= min(6, limit // 2)) & (F.col("score") >= F.greatest(F.lit(2.0), best * 0.2)))
-    around = marked.filter("is_anchor").select("chat_id", F.explode(F.sequence(F.col("msg_id") - context, F.col("msg_id") + context)).alias("msg_id")).distinct()
-    near = around.join(m.select("chat_id", "msg_id"), ["chat_id", "msg_id"]).select("chat_id", "msg_id", F.lit(0.0).alias("score"), F.lit(False).alias("is_anchor"))
-    both = marked.select("chat_id", "msg_id", "score", "is_anchor").unionByName(near)
-    return both.groupBy("chat_id", "msg_id").agg(F.max("score").alias("score"), F.max("is_anchor").alias("is_anchor"))
-
-
 def fuzzy_terms(posts: DataFrame, terms: list[str]) -> DataFrame:
     """Tokens of the vocabulary that are nearly a term: term, token, similarity. The vocabulary is distinct first; terms are few literals."""
     vocabulary = posts.select("token").distinct().filter(F.char_length("token") >= 4)
@@ -104,6 +81,25 @@ def fuzzy_terms(posts: DataFrame, terms: list[str]) -> DataFrame:
     return each.withColumn("similarity", ct.fuzzy(F.col("term"), F.col("token"))).filter(F.col("similarity").isNotNull() & (F.col("term") != F.col("token")))
 
 
+def soft_terms(posts: DataFrame, terms: list[str], least: float = 0.55) -> DataFrame:
+    """Tokens of five letters or more that share trigrams with a term: term, token, share (Dice), at least `least`."""
+    vocabulary = posts.select("token").distinct().filter(F.char_length("token") >= 5)
+    each = vocabulary.select("token", F.explode(F.array(*[F.lit(t) for t in terms])).alias("term"))
+    return each.withColumn("share", F.round(ct.dice(F.col("term"), F.col("token")), 6)).filter((F.col("share") >= least) & (F.col("term") != F.col("token")))
+
+
+def ngram_counts(m: DataFrame, n: int, least: int = 2) -> DataFrame:
+    """Runs of `n` meaningful tokens that a chat says `least` times or more: chat_id, gram, n."""
+    toks = m.select("chat_id", ct.meaningful(F.col("message")).alias("t")).filter(F.size("t") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
+    return toks.select("chat_id", F.explode(grams).alias("gram")).groupBy("chat_id", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def fingerprints(m: DataFrame) -> DataFrame:
+    """A number that tells whether the messages of a chat are the same as before, whatever their order: chat_id, messages, fingerprint."""
+    return m.groupBy("chat_id").agg(F.count("*").alias("messages"), F.bit_xor(F.xxhash64("msg_id", "sender", "date", "message")).alias("fingerprint"))
+
+
 def nearest_vectors(vectors: DataFrame, every: int = 50, k: int = 10, block_rows: int = 2048, least: float = 0.55) -> DataFrame:
     """For each vector whose id is divisible by `every` the `k` nearest of all others by (cosine + 1) / 2, at least `least`.
 

@@ -60,3 +60,24 @@ def property_counts(events: DataFrame) -> DataFrame:
 def newest(events: DataFrame, k: int = 500) -> DataFrame:
     """The newest `k` events, as a bounded log keeps them."""
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(k).select("event_id", "user_id", "event_type", F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 16).alias("user_hash"))
+
+
+def latest_by_key(events: DataFrame, key: str = "user_id", k: int = 50) -> DataFrame:
+    """A memory that moves what comes again to its end: the last event of each key, of these the newest `k`."""
+    last = events.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct("event_id", "event_type", "ts"), F.struct("ts", "event_id")).alias("e"))
+    return last.select(key, "e.*").orderBy(F.desc("ts"), F.desc("event_id")).limit(k)
+
+
+def votes(events: DataFrame, middle: float = 50.0) -> DataFrame:
+    """How often each kind of event, its name in one form, was valued above the middle and how often not."""
+    up = F.coalesce(F.col("value") > middle, F.lit(False))
+    return events.groupBy(F.lower(F.trim("event_type")).alias("name")).agg(F.count_if(up).alias("up"), F.count_if(~up).alias("down"))
+
+
+def since_start(events: DataFrame, key: str = "event_type") -> DataFrame:
+    """Events and their summed value of each key, over all time and over the last minute before its newest event."""
+    told = events.filter(F.col("ts").isNotNull())
+    newest = told.groupBy(key).agg(F.max("ts").alias("newest"))
+    recent = (micros("newest") - micros("ts")) <= 60_000_000
+    rows = told.join(newest, key)
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"), F.count_if(recent).alias("n_minute"))

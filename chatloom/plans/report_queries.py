@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
-from chatloom.operators import answers, report
+from chatloom.operators import answers, questions, report
 from chatloom.session import materialize, table
 
 
@@ -13,6 +13,15 @@ def _on_messages(section):
     return lambda spark, sf_dir: section(report.chat_messages(table(spark, sf_dir, "messages")))
 
 
+def _stored(section):
+    """For what has several sections: the messages are read and deduplicated once."""
+    return lambda spark, sf_dir: section(materialize(report.chat_messages(table(spark, sf_dir, "messages")), "view"))
+
+
+def _first_page(m, sender):
+    return report.browse(m, 1, 100, sender=sender).select("chat_id", "msg_id", "sender", "message", "total", "total_pages")
+
+
 def _on_dated(section):
     """Over messages dated by their stamps; the SQL of the report_ queries has the old parser's ts instead."""
 
@@ -52,8 +61,8 @@ QUERIES = {
     "report_search": _on_messages(lambda m: report.page(m, 1, 100, text="night")),
     "report_browse": _on_messages(lambda m: report.browse(m, 2)),
     "report_browse_search": _on_messages(lambda m: report.browse(m, 1, 100, text="night")),
-    "report_persona": _on_messages(report.persona),
-    "report_highlights": _on_messages(report.highlights),
+    "report_persona": _stored(report.persona),
+    "report_highlights": _stored(report.highlights),
     "dated_coverage": _on_dated(report.coverage),
     "dated_overview": _on_dated(report.overview),
     "dated_by_hour": _on_dated(report.by_hour),
@@ -70,11 +79,23 @@ QUERIES = {
     "dated_vibe": _on_dated(report.vibe),
     "dated_persona": _on_dated(report.persona),
     "dated_highlights": _on_dated(report.highlights),
-    "dated_reply_speed": _on_dated(lambda m: answers.answer(m, "Who is quickest to reply?")),
-    "answer_who_talks_most": _on_messages(lambda m: answers.answer(m, "Who talks the most?")),
-    "answer_longer_messages": _on_messages(lambda m: answers.answer(m, "Who sends longer messages?").drop("rank")),
-    "answer_reply_speed": _on_messages(lambda m: answers.answer(m, "Who is quickest to reply?")),
-    "text_question_kinds": _on_messages(lambda m: m.groupBy("chat_id", answers.question_kind(F.col("message")).alias("kind")).agg(F.count("*").alias("n")).filter("kind IS NOT NULL")),
+    "dated_reply_speed": _on_dated(lambda m: answers.answer(m, "Who replies faster?")),
+    "report_word_cloud": _on_messages(report.word_cloud),
+    "report_month_rhythm": _on_messages(report.month_rhythm),
+    "report_records": _stored(report.records),
+    "report_tiles": _stored(report.tiles),
+    "report_aliased": _on_messages(lambda m: report.length_by_person(report.aliased(m))),
+    "report_of_sender": lambda s, d: _first_page(report.chat_messages(table(s, d, "messages")), "farah"),
+    "report_context": _stored(lambda m: report.overview(m).join(report.night_share(m), "chat_id", "left").join(report.most_talkative(m).select("chat_id", F.col("sender").alias("most_talkative")), "chat_id", "left")),
+    "answer_longer_messages": _on_messages(lambda m: answers.answer(m, "Who sends longer messages?")),
+    "answer_total": _on_messages(lambda m: answers.answer(m, "How many messages are there?")),
+    "answer_reply_speed": _on_messages(lambda m: answers.answer(m, "kaun jaldi reply karta hai")),
+    "answer_starter": _on_messages(lambda m: answers.answer(m, "Who starts conversations?")),
+    "answer_emoji_user": _on_messages(lambda m: answers.answer(m, "Who uses more emojis?")),
+    "answer_busiest_day": _stored(lambda m: answers.answer(m, "What is the busiest day?")),
+    "answer_busiest_hour": _on_messages(lambda m: answers.answer(m, "What is the most active hour?")),
+    "answer_top_emoji": _on_messages(lambda m: answers.answer(m, "What is the most used emoji?")),
+    "text_question_types": _on_messages(lambda m: m.groupBy("chat_id", questions.question_type(F.col("message")).alias("kind")).agg(F.count("*").alias("n"))),
     "text_masked": _on_messages(lambda m: m.select("chat_id", "msg_id", ct.masked(F.col("message")).alias("masked")).filter(F.col("masked") != m["message"])),
     "text_quality": _on_messages(lambda m: m.groupBy("chat_id", ct.quality(F.col("message")).alias("quality")).agg(F.count("*").alias("n"))),
     "text_questions": _on_messages(lambda m: m.filter(ct.is_question(F.col("message"))).select("chat_id", "msg_id")),
@@ -167,7 +188,7 @@ SELECT chat_id, rank, emoji, n FROM (SELECT *, row_number() OVER (PARTITION BY c
     "report_top_words": _WORDS + f""", c AS (SELECT chat_id, word, count(*) AS n, min(msg_id * 100000 + pos) AS first FROM w GROUP BY ALL)
 SELECT chat_id, rank, word, n, total_words FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY n DESC, {_NUM}, first) AS rank, (sum(n) OVER (PARTITION BY chat_id))::BIGINT AS total_words FROM c) WHERE rank <= 20""",
     "report_words_by_person": _WORDS + f""", c AS (SELECT chat_id, sender, word, count(*) AS n, min(msg_id * 100000 + pos) AS first FROM w GROUP BY ALL)
-SELECT chat_id, sender, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, sender ORDER BY n DESC, {_NUM}, first) AS rank FROM c) WHERE rank <= 10""",
+SELECT p.chat_id, p.sender, t.rank::INT AS rank, t.word, t.n FROM (SELECT DISTINCT chat_id, sender FROM m) p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, sender ORDER BY n DESC, {_NUM}, first) AS rank FROM c) WHERE rank <= 10) t USING (chat_id, sender)""",
     "report_conversation_starters": _REPLIES + "SELECT *, floor(100.0 * starts / total + 0.5)::BIGINT AS percentage FROM (SELECT *, (sum(starts) OVER (PARTITION BY chat_id))::BIGINT AS total FROM (SELECT chat_id, sender, count(*) AS starts FROM q WHERE starts GROUP BY ALL))",
     "report_numbered_conversations": _REPLIES + "SELECT chat_id, msg_id, sender, starts, (sum(starts::INT) OVER (PARTITION BY chat_id ORDER BY msg_id))::BIGINT AS conversation FROM q",
     "report_response_stats": _REPLIES + "SELECT chat_id, sender, count(*) AS responses, floor(avg(gap_minutes) * 10 + 0.5) / 10.0 AS average_minutes, floor(min(gap_minutes) * 10 + 0.5) / 10.0 AS fastest_minutes, floor(median(gap_minutes) * 10 + 0.5) / 10.0 AS median_minutes FROM a GROUP BY ALL",
@@ -203,13 +224,46 @@ SELECT chat_id, msg_id, sender, in_run FROM (SELECT *, row_number() OVER (PARTIT
 SELECT chat_id, msg_id, CASE WHEN first IN {_in(ct.AFFIRMATIVE)} THEN 1 ELSE -1 END AS answer FROM f WHERE n BETWEEN 1 AND 3 AND (first IN {_in(ct.AFFIRMATIVE)} OR first IN {_in(ct.NEGATIVE)})""",
 }
 _with = lambda name: ORACLES[name]
+_NAME = "regexp_extract(trim(sender), '^\\S+')"
+_MINUTES = """CASE WHEN {c} < 1 THEN floor({c} * 60 + 0.5)::BIGINT || ' sec' WHEN {c} < 60 THEN floor({c} + 0.5)::BIGINT || ' min' WHEN floor({c} % 60 + 0.5) = 0 THEN floor({c} / 60)::BIGINT || ' hr'
+ ELSE floor({c} / 60)::BIGINT || ' hr ' || floor({c} % 60 + 0.5)::BIGINT || ' min' END"""
+
+
+def _of(name: str, other: tuple[str, str] = ("", "")) -> str:
+    """A section, one of its terms replaced, as the table `o`."""
+    return f"WITH o AS ({ORACLES[name].replace(*other) if other[0] else ORACLES[name]}) "
+
+
 ORACLES |= {
-    "answer_who_talks_most": ORACLES["report_most_talkative"],
     "answer_longer_messages": "SELECT * FROM (" + ORACLES["report_length_by_person"] + ") QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY average_length DESC, sender) = 1",
-    "answer_reply_speed": ORACLES["report_response_stats"],
-    "text_question_kinds": _M + """, k AS (SELECT chat_id, CASE WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:how many|how much|count)(?:[^a-z]|$)') THEN 'count' WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:when|what time|how long)(?:[^a-z]|$)') THEN 'time'
- WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:who|whose)(?:[^a-z]|$)') THEN 'person' WHEN regexp_matches(lower(message), '(?:^|[^a-z])(?:why|how come)(?:[^a-z]|$)') THEN 'reason' ELSE 'other' END AS kind FROM m WHERE contains(message, '?'))
-SELECT chat_id, kind, count(*) AS n FROM k GROUP BY ALL""",
+    "answer_total": _M + "SELECT chat_id, count(*) AS total_messages FROM m GROUP BY ALL",
+    "answer_reply_speed": _of("report_response_stats") + f"SELECT chat_id, sender, {_MINUTES.format(c='average_minutes')} AS average FROM o QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY average_minutes, sender) = 1",
+    "answer_starter": _of("report_conversation_starters") + "SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY starts DESC, sender) = 1",
+    "answer_emoji_user": _of("report_emojis_per_person") + "SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY emojis DESC, sender) = 1",
+    "answer_busiest_day": _M + "SELECT chat_id, holder, n::DOUBLE AS value FROM (SELECT chat_id, dayname(ts) AS holder, count(*) AS n, min(msg_id) AS first FROM m WHERE ts IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY n DESC, first) = 1",
+    "answer_busiest_hour": _of("report_night_share") + "SELECT chat_id, peak_hour FROM o",
+    "answer_top_emoji": _of("report_top_emojis") + "SELECT chat_id, emoji, n FROM o WHERE rank = 1",
+    "text_question_types": _M + """SELECT chat_id, CASE WHEN regexp_matches(l, '\\b(?:who|which)[^\\n]*(?:talk|message|text|speak)') THEN 'message_statistics' WHEN regexp_matches(l, 'reply faster|respond faster|response time') THEN 'response_statistics'
+ WHEN regexp_matches(l, 'longer messages|long messages|message length') THEN 'message_length_statistics' WHEN regexp_matches(l, 'start[^\\n]*conversation|conversation[^\\n]*start') THEN 'conversation_statistics' ELSE 'conversation_question' END AS kind, count(*) AS n
+FROM (SELECT chat_id, lower(trim(message)) AS l FROM m) GROUP BY ALL""",
+    "report_word_cloud": _of("report_top_words", ("rank <= 20", "rank <= 24")) + "SELECT chat_id, rank, word, round(n / max(n) OVER (PARTITION BY chat_id), 6) AS scale FROM o",
+    "report_month_rhythm": _of("report_by_month") + ", k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY month DESC) <= 12) SELECT chat_id, month, messages, floor(100.0 * messages / max(messages) OVER (PARTITION BY chat_id) + 0.5)::BIGINT AS percent FROM k",
+    "report_records": _REPLIES + """, d AS (SELECT chat_id, 'weekday' AS record, dayname(ts) AS holder, count(*) AS n, min(msg_id) AS first FROM m WHERE ts IS NOT NULL GROUP BY ALL UNION ALL SELECT chat_id, 'month', strftime(ts, '%Y-%m'), count(*), min(msg_id) FROM m WHERE ts IS NOT NULL GROUP BY ALL),
+v AS (SELECT chat_id, sender, floor(avg(gap_minutes) * 10 + 0.5) / 10.0 AS value FROM a GROUP BY ALL)
+SELECT chat_id, record, holder, n::DOUBLE AS value FROM d QUALIFY row_number() OVER (PARTITION BY chat_id, record ORDER BY n DESC, first) = 1
+UNION ALL SELECT chat_id, 'fastest_responder', sender, value FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY value, sender) = 1)""",
+    "report_tiles": f"""WITH o AS ({_with("report_overview")}), t AS ({_with("report_most_talkative")}), n AS ({_with("report_night_share")}), r AS ({_with("report_response_stats")}), e AS ({_with("report_top_emojis")}), s AS ({_with("report_conversation_starters")})
+SELECT chat_id, 'people' AS tile, participants::VARCHAR AS value, 'most messages: ' || {_NAME} AS sub FROM o JOIN t USING (chat_id)
+UNION ALL SELECT chat_id, 'days', format('{{:,}}', duration_days), first_date || ' to ' || last_date FROM o WHERE duration_days > 0 UNION ALL SELECT chat_id, 'peak_hour', peak_hour || ' to ' || (peak_hour + 1), NULL FROM n
+UNION ALL SELECT chat_id, 'fastest_reply', {_NAME}, {_MINUTES.format(c="average_minutes")} FROM (SELECT * FROM r WHERE average_minutes > 0 QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY average_minutes, sender) = 1)
+UNION ALL SELECT chat_id, 'emoji', emoji, format('{{:,}}', n) || ' times' FROM e WHERE rank = 1
+UNION ALL SELECT chat_id, 'starter', {_NAME}, 'starts ' || percentage || '% of conversations' FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY starts DESC, sender) = 1)""",
+    "report_aliased": f"WITH l AS ({_with('report_length_by_person')}), a AS ({_with('report_aliases')}) SELECT l.* EXCLUDE (sender), a.alias AS sender FROM l JOIN a USING (chat_id, sender)",
+    "report_of_sender": _M + "SELECT chat_id, msg_id, sender, message, count(*) OVER () AS total, greatest(1, ceil(count(*) OVER () / 100.0))::BIGINT AS total_pages FROM m WHERE lower(sender) = 'farah' ORDER BY chat_id, msg_id LIMIT 100",
+    "report_browse": _M + "SELECT chat_id, msg_id, date, sender, message, (SELECT count(*) FROM m) AS total, 2::BIGINT AS page, ceil((SELECT count(*) FROM m) / 50.0)::BIGINT AS total_pages FROM m ORDER BY chat_id, msg_id LIMIT 50 OFFSET 50",
+    "report_browse_search": _M + ", f AS (SELECT * FROM m WHERE contains(lower(message), 'night')) SELECT chat_id, msg_id, date, sender, message, (SELECT count(*) FROM f) AS total, 1::BIGINT AS page, ceil((SELECT count(*) FROM f) / 100.0)::BIGINT AS total_pages FROM f ORDER BY chat_id, msg_id LIMIT 100",
+    "report_context": f"""WITH o AS ({_with("report_overview")}), n AS ({_with("report_night_share")}), t AS ({_with("report_most_talkative")})
+SELECT o.*, n.night_percent, n.peak_hour, t.sender AS most_talkative FROM o LEFT JOIN n USING (chat_id) LEFT JOIN t USING (chat_id)""",
     "report_persona": f"""WITH t AS ({_with("report_length_by_person")}), n AS ({_with("report_night_share")}), e AS ({_with("report_top_emojis")}), w AS ({_with("report_top_words")}), r AS ({_with("report_response_stats")}), b AS ({_with("report_biggest_day")})
 SELECT c.chat_id, c.total_messages, n.night_percent, n.peak_hour, e.emojis, w.words, r.fastest_average, b.messages AS busiest_day FROM (SELECT chat_id, sum(messages)::BIGINT AS total_messages FROM t GROUP BY ALL) c
 LEFT JOIN n USING (chat_id) LEFT JOIN (SELECT chat_id, list(emoji ORDER BY rank) AS emojis FROM e WHERE rank <= 5 GROUP BY ALL) e USING (chat_id) LEFT JOIN (SELECT chat_id, list(word ORDER BY rank) AS words FROM w WHERE rank <= 8 GROUP BY ALL) w USING (chat_id)

@@ -10,18 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
+from chatloom.functions.stamps import whole as whole_number
 from chatloom.operators.adjacent import running_count
-from chatloom.session import materialize
+from chatloom.session import materialize, settled
 
 #: White space as the exports' writers count it.
 BLANKS = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_CLOCK = r"(\d{1,2}):(\d{2})(?::\d{2})?\s*([ap]\.?m\.?)?"
-_AFTER = r"\]?\s*[-–—]?\s*"
-_DAY_FIRST = rf"^\[?(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{2,4}}),\s*{_CLOCK}{_AFTER}"
-_YEAR_FIRST = rf"^\[?(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})[,\s]+{_CLOCK}{_AFTER}"
-_SENDER = r"([^:]{1,60}?):\s*(.*)$"
-HEAD, ISO_HEAD = f"(?i){_DAY_FIRST}{_SENDER}", f"(?i){_YEAR_FIRST}{_SENDER}"
-NOTICE, ISO_NOTICE = f"(?i){_DAY_FIRST}([^:].*)$", f"(?i){_YEAR_FIRST}([^:].*)$"
+#: A line is cut into its stamp and the rest; the stamp is then read part by part. A stamp begins a line, within brackets or not, and is a day, a clock and perhaps a half of the day.
+STAMP = r"^\[?(?<day>[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4})(?<gap>,\s*|\s+)(?<clock>[0-9]{1,2}(?::[0-9]{2}){1,2})\s*(?<half>[aApP]\.?[mM]\.?)?\]?\s*(?<rest>.*)$"
+DAY, GAP, CLOCK, HALF, REST = 1, 2, 3, 4, 5
+#: A sender: up to sixty characters before the first colon.
+SENDER_LENGTH = 60
 # What the app writes in place of an attachment or a deleted message.
 MEDIA = r"(?i)<media omitted>|(?:image|video|audio|sticker|document|gif) omitted"
 DELETED = r"(?i)this message was deleted|you deleted this message"
@@ -31,13 +30,16 @@ def trimmed(col: Column) -> Column:
     return F.regexp_replace(col, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
 
 
-def read_exports(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
-    """One row per text file below `path`: file, value, and the columns of its folders. Files over `most_bytes`, if given, are left out.
+def read_exports(spark: SparkSession, path: str) -> DataFrame:
+    """One row per text file below `path`: file, value, and the columns of its folders. A file is a row of one task here; `read_lines` has no such bound."""
+    return spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("file"))
 
-    A file is a row of one task here; `read_lines` has no such bound.
-    """
-    files = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"))
-    return (files if most_bytes is None else files.filter(F.col("_size") <= most_bytes)).drop("_size")
+
+def refused_files(spark: SparkSession, path: str, most_bytes: int = 10 * 1024 * 1024) -> DataFrame:
+    """The files below `path` that an upload would refuse, with the reason: not a text file, empty, or larger than `most_bytes`. Nothing else is read of them."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    reason = F.when(~F.lower("file").endswith(".txt"), "not a text file").when(F.col("bytes") == 0, "empty").when(F.col("bytes") > most_bytes, "too large")
+    return files.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,12 +70,22 @@ def parse_exports(files: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Messages of numbered lines (file, line_no, raw), as `parse_exports`."""
     lines = lines.withColumn("line", F.translate("raw", "\u202f\u00a0\u200e\u200f", "    ")).drop("raw")
-    day, iso = F.col("line").rlike(HEAD), F.col("line").rlike(ISO_HEAD)
-    kind = F.when(day, "day").when(iso, "iso").when(F.col("line").rlike(NOTICE) | F.col("line").rlike(ISO_NOTICE), "notice")
-    marked = running_count(lines.withColumn("kind", kind).withColumn("opens", F.col("kind").isNotNull()), "file", "line_no", "opens", "island")
-    group = lambda i: F.when(F.col("kind") == "day", F.regexp_extract("line", HEAD, i)).otherwise(F.regexp_extract("line", ISO_HEAD, i))
-    text = F.when(F.col("opens"), group(8)).otherwise(trimmed(F.col("line")))
-    heads = marked.filter(F.col("island") > 0).select("file", "island", "line_no", "kind", "opens", text.alias("text"), *[F.when(F.col("opens"), group(i)).alias(f"g{i}") for i in range(1, 8)])
+    part = lambda i: F.regexp_extract("line", STAMP, i)
+    cut = settled(lines, {"stamped": F.col("line").rlike(STAMP), "day": part(DAY), "gap": part(GAP), "clock": part(CLOCK), "half": part(HALF), "rest": part(REST)})
+    numbers = F.split("day", "[-/.]")
+    iso = F.col("day").rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
+    local = F.col("day").rlike("^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}$") & F.col("gap").startswith(",")
+    body = F.regexp_replace("rest", r"^[-\x{2013}\x{2014}]?\s*", "")
+    cut = settled(cut.withColumn("body", body), {"form": F.when(F.col("stamped") & iso, "iso").when(F.col("stamped") & local, "day"), "colon": F.instr("body", ":")})
+    talks = F.col("form").isNotNull() & F.col("colon").between(2, SENDER_LENGTH + 1)
+    notice = F.col("form").isNotNull() & ~talks & (F.col("body") != "") & ~F.col("body").startswith(":")
+    marked = cut.withColumn("kind", F.when(talks, F.col("form")).when(notice, "notice")).withColumn("opens", F.col("kind").isNotNull())
+    marked = running_count(marked, "file", "line_no", "opens", "island")
+    spoken = F.substring("body", F.col("colon") + 1, F.char_length("body"))
+    text = F.when(F.col("opens"), F.regexp_replace(spoken, r"^\s+", "")).otherwise(trimmed(F.col("line")))
+    clock = F.split("clock", ":")
+    of_head = {"g1": numbers[0], "g2": numbers[1], "g3": numbers[2], "g4": clock[0], "g5": clock[1], "g6": F.col("half"), "g7": F.substring("body", F.lit(1), F.col("colon") - 1)}
+    heads = marked.filter(F.col("island") > 0).select("file", "island", "line_no", "kind", "opens", text.alias("text"), *[F.when(F.col("opens") & (F.col("kind") != "notice"), v).alias(k) for k, v in of_head.items()])
     kept = heads.filter(F.col("opens") | (F.col("text") != ""))
     whole = kept.groupBy("file", "island").agg(
         F.min("line_no").alias("line_no"),
@@ -82,7 +94,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("message"),
     )
     said = whole.filter(F.col("kind") != "notice").withColumn("message", trimmed(F.col("message"))).filter("message <> ''")
-    n = lambda i: F.col(f"g{i}").try_cast("int")
+    n = lambda i: whole_number(F.col(f"g{i}"))
     first, second, third = n(1), n(2), n(3)
     iso = F.col("kind") == "iso"
     year = F.when(iso, first).otherwise(F.when(third < 100, third + 2000).otherwise(third))

@@ -1,7 +1,7 @@
 import os
 
 from chatloom.session import scratch_path
-from chatloom.sources.chatlog import parse_exports, read_exports
+from chatloom.sources.chatlog import parse_exports, read_exports, refused_files
 
 LOG = """junk before
 12/08/25, 10:00 am - Messages and calls are end-to-end encrypted
@@ -26,8 +26,9 @@ def test_parse(spark):
     for name, text in (("a.txt", LOG), ("empty.txt", ""), ("other.txt", "no chat\nat all"), ("big.txt", "x" * 2000)):
         with open(f"{folder}/{name}", "w") as out:
             out.write(text)
-    files = read_exports(spark, folder, 1900)
-    assert files.count() == 2  # Spark skips empty files itself
+    files = read_exports(spark, folder)
+    assert files.count() == 3  # Spark skips empty files itself
+    assert {(r["file"].rsplit("/", 1)[1], r["reason"]) for r in refused_files(spark, folder, 1900).collect()} == {("big.txt", "too large"), ("empty.txt", "empty")}
     rows = parse_exports(files).orderBy("id").collect()
     got = [(r["id"], r["date"], r["time"], r["sender"], r["message"]) for r in rows]
     assert got == [
