@@ -177,7 +177,8 @@ SELECT chat_id, stem, related, n, round(least(0.65, 0.2 + n * 0.08)::DOUBLE, 6)
   JOIN sd b ON b.chat_id = cn.chat_id AND b.stem = cn.related LEFT JOIN hd ON hd.chat_id = cn.chat_id AND hd.token = cn.related JOIN sz ON sz.chat_id = cn.chat_id WHERE n / least(a.said, b.said) >= 0.3 AND coalesce(held, 0) < docs * 0.4) WHERE k <= 6""",
     "search_negated": _TOKENS + f""", tt AS (SELECT chat_id, msg_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM tk), sm AS (SELECT *, {_STEM} AS stem FROM tt)
 SELECT DISTINCT a.chat_id, a.msg_id FROM sm a JOIN sm b ON a.chat_id = b.chat_id AND a.msg_id = b.msg_id AND abs(a.i - b.i) <= 3 WHERE a.token IN {_in(ct.NEGATIONS)} AND (b.token IN ('film', 'photos', 'tickets') OR b.stem IN ('film', 'photos', 'tickets'))""",
-    "index_senders": _M + """, w AS (SELECT chat_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(sender, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g'), '[‘’]', chr(39), 'g'))) AS who, count(*) AS n FROM m GROUP BY ALL),
+    "index_senders": _M + """, w0 AS (SELECT chat_id, string_split(regexp_replace(regexp_replace(regexp_replace(sender, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g'), '[‘’]', chr(39), 'g'), '') AS cs FROM m),
+w AS (SELECT chat_id, lower(trim(array_to_string(list_filter(cs, lambda x, i: NOT (i > 2 AND x = cs[i - 1] AND x = cs[i - 2])), ''))) AS who, count(*) AS n FROM w0 GROUP BY ALL),
 x AS (SELECT chat_id, who, n, unnest(list_concat([who], list_filter(string_split_regex(who, '\\s+'), lambda p: length(p) >= 2 AND p <> who))) AS name FROM w WHERE who <> '') SELECT chat_id, name, sum(n)::BIGINT AS messages FROM x GROUP BY ALL""",
     "index_bigrams": _MEAN + ", b AS (SELECT chat_id, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS gram FROM mt WHERE len(ts) >= 2) SELECT chat_id, gram, count(*) AS n FROM b GROUP BY ALL HAVING count(*) >= 2",
     "facts_round_trip": _FACTS + "SELECT chat_id, person, place::INT AS place, category, fact, evidence FROM n WHERE place <= 5",

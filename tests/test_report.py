@@ -1,6 +1,7 @@
 from datetime import datetime
 
-from chatloom.operators import report, retrieval
+from chatloom.operators import evidence, report, retrieval
+from chatloom.operators.questions import analyse
 from chatloom.operators.adjacent import running_count, with_previous
 
 SCHEMA = "chat_id BIGINT, msg_id BIGINT, row_id BIGINT, date STRING, ts TIMESTAMP_NTZ, sender STRING, message STRING"
@@ -56,7 +57,7 @@ def test_blocks_change_nothing(spark):
 
 
 def test_evidence_holds_the_asked_for_message(spark):
-    got = retrieval.evidence(chat(spark), "who wants pizza tonight?")
+    got = evidence.retrieve(evidence.index(chat(spark)), analyse(spark, "who wants pizza tonight?"))
     best = got.orderBy("score", ascending=False).first()
     assert best["msg_id"] == 1 and best["is_anchor"]
     assert retrieval.evidence(chat(spark), "?").count() == 0
