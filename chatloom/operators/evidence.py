@@ -138,6 +138,32 @@ def soft_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(ct.fuzzy(a, b), F.when((F.char_length(a) >= 5) & (F.char_length(b) >= 5) & (share >= 0.55), share * 0.9))
 
 
+_ALIKE = {"fuzzy": ct.fuzzy, "_soft": lambda a, b: F.coalesce(ct.fuzzy(a, b), soft_similarity(a, b) * 0.85)}
+
+
+def _near_words(docs: DataFrame, q: Question, most: int = 5000) -> list | None:
+    """Tokens of the index that are nearly a word of the question, compared once for each different token; None where they are more than `most`."""
+    if not q.soft:
+        return []
+    each = docs.select(F.explode("tokens").alias("token")).distinct().select("token", F.explode(F.array(*[F.lit(w) for w in q.soft])).alias("word"))
+    said = each.select("token", "word", *[f(F.col("word"), F.col("token")).alias(name) for name, f in _ALIKE.items()])
+    rows = said.filter((F.col("fuzzy") >= 0.75) | (F.col("_soft") >= 0.75)).limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def _first_hit(word: str, how: str, near: list | None) -> Column:
+    """Points of the first token that is nearly `word`, 0 for none: looked up among the near words, or compared where these are too many."""
+    if near is None:
+        alike = F.transform("tokens", lambda t: _ALIKE[how](F.lit(word), t))
+    else:
+        known = {r["token"]: r[how] for r in near if r["word"] == word and (r[how] or 0) >= 0.75}
+        if not known:
+            return F.lit(0.0)
+        pairs = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
+        alike = F.when(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in sorted(known)])), F.transform("tokens", lambda t: F.try_element_at(pairs, t)))
+    return F.coalesce(F.get(F.filter(alike, lambda x: x >= 0.75), F.lit(0)), F.lit(0.0)) * FUZZY
+
+
 def score(docs: DataFrame, q: Question, similarity: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
     """All messages with a score: docs columns, PARTS, `score`, `soft_score` (misspelt words count more freely), `candidate`, `polarity`, stored.
 
@@ -151,10 +177,9 @@ def score(docs: DataFrame, q: Question, similarity: DataFrame | None = None, lea
     rows = settled(rows, lexical(q))
     weight = lambda s: F.when(~s.isin(*q.stems) if q.stems else F.lit(True), F.coalesce(F.try_element_at("_concepts", s), F.lit(0.0))).otherwise(0.0)
     rows = settled(rows, {"concept": F.when(F.col("_concepts").isNotNull(), F.aggregate("stems", F.lit(0.0), lambda a, s: a + weight(s) * CONCEPT)).otherwise(0.0)})
-    hit = lambda w, alike: F.coalesce(F.get(F.filter(F.transform("tokens", lambda t: alike(F.lit(w), t)), lambda x: x >= 0.75), F.lit(0)), F.lit(0.0)) * FUZZY
     unmatched = (F.col("direct_topic") == 0) & (F.col("phrase") == 0)
-    soft = lambda a, b: F.coalesce(ct.fuzzy(a, b), soft_similarity(a, b) * 0.85)
-    rows = settled(rows, {"fuzzy": F.when(unmatched, _sum(hit(w, ct.fuzzy) for w in q.soft)).otherwise(0.0), "_soft": F.when(unmatched, _sum(hit(w, soft) for w in q.soft)).otherwise(0.0)})
+    near = _near_words(docs, q)
+    rows = settled(rows, {name: F.when(unmatched, _sum(_first_hit(w, name, near) for w in q.soft)).otherwise(0.0) for name in ("fuzzy", "_soft")})
     of_target = F.coalesce((F.col("who") == F.col("_target")).cast("int"), F.lit(0)), F.coalesce(F.col("normal").contains(F.col("_target")).cast("int"), F.lit(0))
     on_topic = (F.col("direct_topic") > 0) | (F.col("stem") > 0) | (F.col("concept") > 0) | (F.col("phrase") > 0) | (F.col("semantic") > 0)
 

@@ -49,6 +49,13 @@ def test_typos_need_the_later_passes(spark, docs):
     assert "who brings the projector" in texts and rows[0]["pass"] in ("relaxed", "fuzzy")
 
 
+def test_many_near_words_are_compared_directly(spark, docs, monkeypatch):
+    q = analyse(spark, "projectr and potery")
+    looked_up = sorted(map(tuple, evidence.retrieve(docs, q).collect()))
+    monkeypatch.setattr(evidence, "_near_words", lambda docs, q: None)
+    assert sorted(map(tuple, evidence.retrieve(docs, q).collect())) == looked_up and looked_up
+
+
 def test_person_floods_and_nothing(spark, docs):
     texts, _ = ask(spark, docs, "ok then right done", limit=100)
     assert len([t for t in texts if t in ("ok", "ok then", "right", "done")]) == 3

@@ -60,4 +60,4 @@ def test_evidence_holds_the_asked_for_message(spark):
     got = evidence.retrieve(evidence.index(chat(spark)), analyse(spark, "who wants pizza tonight?"))
     best = got.orderBy("score", ascending=False).first()
     assert best["msg_id"] == 1 and best["is_anchor"]
-    assert retrieval.evidence(chat(spark), "?").count() == 0
+    assert evidence.retrieve(evidence.index(chat(spark)), analyse(spark, "?")).count() == 0
