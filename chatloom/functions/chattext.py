@@ -91,13 +91,21 @@ def words(col: Column) -> Column:
 def normal_chat(col: Column) -> Column:
     """Straight apostrophes, no zero-width characters, contractions expanded, no run of a character over two."""
     out = F.regexp_replace(F.regexp_replace(col, r"[\x{200B}-\x{200D}\x{FEFF}]", ""), "[‘’]", "'")
+    whole = out
     for short, full in CONTRACTIONS:
-        out = F.regexp_replace(out, f"(?i){EDGE_L}{short}{EDGE_R}", full)
+        whole = F.regexp_replace(whole, f"(?i){EDGE_L}{short}{EDGE_R}", full)
+    # every contraction has an apostrophe, most texts have none
+    out = F.when(out.contains("'"), whole).otherwise(out)
     return F.trim(F.regexp_replace(out, r"(.)\1{2,}", "$1$1"))
 
 
+def tokens_of(normal: Column) -> Column:
+    """Tokens of a text in `normal_chat` form."""
+    return F.regexp_extract_all(F.lower(normal), F.lit(r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"), F.lit(0))
+
+
 def tokens(col: Column) -> Column:
-    return F.regexp_extract_all(F.lower(normal_chat(col)), F.lit(r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"), F.lit(0))
+    return tokens_of(normal_chat(col))
 
 
 def mapped(values: dict[str, str], key: Column) -> Column:
@@ -106,7 +114,11 @@ def mapped(values: dict[str, str], key: Column) -> Column:
 
 def meaningful(col: Column) -> Column:
     """Tokens in their usual spelling, two letters or more, no light stop words."""
-    return F.filter(F.transform(tokens(col), lambda t: mapped(CANONICAL, t)), lambda t: (F.char_length(t) >= 2) & ~t.isin(*LIGHT_STOP_WORDS))
+    return meaningful_of(tokens(col))
+
+
+def meaningful_of(said: Column) -> Column:
+    return F.filter(F.transform(said, lambda t: mapped(CANONICAL, t)), lambda t: (F.char_length(t) >= 2) & ~t.isin(*LIGHT_STOP_WORDS))
 
 
 def stem(token: Column) -> Column:
@@ -169,10 +181,17 @@ def quality(col: Column) -> Column:
 
 def short_answer(col: Column) -> Column:
     """1 for a short yes, -1 for a short no, else 0."""
-    t = tokens(col)
+    return short_answer_of(tokens(col))
+
+
+def short_answer_of(t: Column) -> Column:
     first = mapped(CANONICAL, F.get(t, F.lit(0)))
     return F.when(~F.size(t).between(1, 3), 0).when(first.isin(*AFFIRMATIVE), 1).when(first.isin(*NEGATIVE), -1).otherwise(0)
 
 
 def is_question(col: Column) -> Column:
-    return col.contains("?") | F.coalesce(F.get(tokens(col), F.lit(0)).isin(*INTERROGATIVES), F.lit(False))
+    return asks_of(col, tokens(col))
+
+
+def asks_of(col: Column, said: Column) -> Column:
+    return col.contains("?") | F.coalesce(F.get(said, F.lit(0)).isin(*INTERROGATIVES), F.lit(False))

@@ -27,8 +27,11 @@ def index(m: DataFrame) -> DataFrame:
     base = with_previous(m.select("chat_id", "msg_id", "date", "sender", "message"), "chat_id", "msg_id", ["date"])
     base = base.withColumns({"one": F.lit(True), "turned": F.col("prev").isNull() | ~F.col("prev.date").eqNullSafe(F.col("date"))}).drop("prev")
     placed = running_count(running_count(base, "chat_id", "msg_id", "one", "nth"), "chat_id", "msg_id", "turned", "run")
-    text = settled(placed.drop("one", "turned"), {"tokens": ct.meaningful(F.col("message")), "normal": F.lower(ct.normal_chat(F.col("message")))})
-    columns = {"stems": F.transform("tokens", lambda t: ct.stem(t)), "who": F.lower(ct.normal_chat(F.regexp_replace("sender", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))), "asks": ct.is_question(F.col("message")), "answers": ct.short_answer(F.col("message")), "quality": ct.quality(F.col("message"))}
+    # step by step, so that no text is brought into its form twice
+    text = settled(placed.drop("one", "turned"), {"normal": ct.normal_chat(F.col("message"))})
+    text = settled(text, {"said": ct.tokens_of(F.col("normal")), "normal": F.lower("normal")})
+    text = settled(text, {"tokens": ct.meaningful_of(F.col("said")), "asks": ct.asks_of(F.col("message"), F.col("said")), "answers": ct.short_answer_of(F.col("said"))})
+    columns = {"stems": F.transform("tokens", lambda t: ct.stem(t)), "who": F.lower(ct.normal_chat(F.regexp_replace("sender", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))), "quality": ct.quality(F.col("message"))}
     out = text.withColumns(columns).withColumn("at", F.col("nth") - 1).drop("nth")
     return materialize(out.repartition("chat_id", F.floor(F.col("at") / 65_536)).sortWithinPartitions("chat_id", "at"), "index")
 
@@ -106,10 +109,16 @@ def _sum(parts) -> Column:
     return sum(parts, F.lit(0.0))
 
 
+def counted(docs: DataFrame, q: Question) -> DataFrame:
+    """`docs` with how often each word and each stem of the question stands there, in arrays `_tf` and `_stf`, which `lexical` reads."""
+    times = lambda column, words: F.array(*[_times(column, w) for w in words]).cast("array<int>")
+    return settled(docs, {"_tf": times("tokens", q.words), "_stf": times("stems", q.stems)})
+
+
 def lexical(q: Question) -> dict[str, Column]:
-    """The parts of a score that a message and the frequencies of its chat give: phrase, bm25, stem, proximity, many, and how many words match."""
-    tf = {w: _times("tokens", w) for w in q.words}
-    stf = {s: _times("stems", s) for s in q.stems}
+    """The parts of a score that a message (see `counted`) and the frequencies of its chat give: phrase, bm25, stem, proximity, many, and how many words match."""
+    tf = {w: F.col("_tf")[i] for i, w in enumerate(q.words)}
+    stf = {s: F.col("_stf")[i] for i, s in enumerate(q.stems)}
     df = lambda w: F.coalesce(F.try_element_at("_df", F.lit(w)), F.lit(1))
     places = F.filter(F.array(*[F.array_position("tokens", w) for w in q.words]).cast("array<bigint>"), lambda p: p > 0)
     span = F.array_max(places) - F.array_min(places) + 1
@@ -122,7 +131,7 @@ def lexical(q: Question) -> dict[str, Column]:
         "bm25": _sum(F.when(n > 0, _bm25(n, df(w)) * (TOPIC if w in q.topic else OTHER)).otherwise(0.0) for w, n in tf.items()),
         "stem": _sum(F.when((n > 0) & ~F.array_contains("tokens", s), _bm25(n, df(s)) * (TOPIC_STEM if s in q.topic_stems else OTHER_STEM)).otherwise(0.0) for s, n in stf.items()),
         "proximity": F.when(F.size(places) >= 2, near).otherwise(0.0),
-        "many": F.when(direct >= 3, 40.0).when(direct >= 2, 16.0).otherwise(0.0),
+        "many": F.element_at(F.array(F.lit(0.0), F.lit(16.0), F.lit(40.0)), F.greatest(F.lit(1), F.least(F.lit(3), direct)).cast("int")),
     }
 
 
@@ -174,7 +183,7 @@ def score(docs: DataFrame, q: Question, similarity: DataFrame | None = None, lea
     if similarity is not None:
         rows = rows.join(similarity.select("chat_id", "msg_id", "similarity"), ["chat_id", "msg_id"], "left")
     rows = rows.withColumn("semantic", F.coalesce(F.col("similarity") * SEMANTIC, F.lit(0.0)) if similarity is not None else F.lit(0.0))
-    rows = settled(rows, lexical(q))
+    rows = settled(counted(rows, q), lexical(q))
     weight = lambda s: F.when(~s.isin(*q.stems) if q.stems else F.lit(True), F.coalesce(F.try_element_at("_concepts", s), F.lit(0.0))).otherwise(0.0)
     rows = settled(rows, {"concept": F.when(F.col("_concepts").isNotNull(), F.aggregate("stems", F.lit(0.0), lambda a, s: a + weight(s) * CONCEPT)).otherwise(0.0)})
     unmatched = (F.col("direct_topic") == 0) & (F.col("phrase") == 0)
@@ -195,7 +204,7 @@ def score(docs: DataFrame, q: Question, similarity: DataFrame | None = None, lea
     named = F.coalesce(F.col("at") <= F.try_element_at("_until", F.col("who")), F.lit(False))
     rows = settled(rows, {"sender_points": sender, "score": strict, "soft_score": loose, "candidate": F.coalesce(found, F.lit(False)) | named | (F.col("semantic") > 0)})
     kept = rows.filter((F.col("score") > 0.8) | (F.col("soft_score") > 0.8))
-    kept = kept.withColumn("polarity", F.when(negated(q.words, ct.tokens(F.col("message"))), -1).otherwise(1))
+    kept = kept.withColumn("polarity", F.when(F.arrays_overlap("said", F.array(*[F.lit(w) for w in ct.NEGATIONS])) & negated(q.words, F.col("said")), -1).otherwise(1))
     return materialize(kept.select("chat_id", "msg_id", "at", "sender", "asks", *[F.col("sender_points").alias(c) if c == "sender" else F.col(c) for c in PARTS if c != "sender"], "sender_points", "direct", "polarity", "candidate", "score", "soft_score"), "scored")
 
 

@@ -73,7 +73,7 @@ def _rounded(df):
 def _lexical(docs, q):
     """The parts of a score that words alone give, of all messages that hold one of the question's."""
     chats = evidence._of_chat(docs, q, None)
-    rows = docs.filter(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in q.words]))).join(chats, "chat_id")
+    rows = evidence.counted(docs.filter(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in q.words]))).join(chats, "chat_id"), q)
     return _rounded(rows.select("chat_id", "msg_id", *[v.cast("double" if k in ("bm25", "stem", "phrase", "proximity", "many") else "int").alias(k) for k, v in evidence.lexical(q).items()]))
 
 
@@ -100,7 +100,7 @@ QUERIES = {
     "search_lessons": _asked(_lessons),
     "search_lexical": _asked(_lexical),
     "search_related_stems": _asked(lambda d, q: _rounded(evidence.related_stems(d, q.topic_stems))),
-    "search_negated": _asked(lambda d, q: d.filter(evidence.negated(["film", "photos", "tickets"], ct.tokens(F.col("message")))).select("chat_id", "msg_id")),
+    "search_negated": _asked(lambda d, q: d.filter(evidence.negated(["film", "photos", "tickets"], F.col("said"))).select("chat_id", "msg_id")),
     "search_soft_terms": lambda s, d: retrieval.soft_terms(retrieval.postings(_m(s, d)), ["kitchn", "potterys", "montain"]),
     "index_senders": _asked(lambda d, q: evidence.sender_postings(d)),
     "index_bigrams": lambda s, d: retrieval.ngram_counts(_m(s, d), 2),
