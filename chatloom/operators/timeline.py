@@ -9,12 +9,15 @@ from chatloom.functions.textform import normal_key
 from chatloom.operators.instants import resolve_instants
 
 #: Nothing that can be seen: white space, separators, format and control characters only.
-UNSEEN = r"^[\s\p{Z}\p{Cf}\p{Cc}\x{FE0E}\x{FE0F}\x{3164}\x{115F}\x{1160}]*$"
+_BLANK = r"\s\p{Z}\p{Cf}\p{Cc}\x{FE0E}\x{FE0F}\x{3164}\x{115F}\x{1160}"
+UNSEEN = f"^[{_BLANK}]*$"
+#: Anything else; most texts begin with it, so the search ends at once.
+SEEN = f"[^{_BLANK}]"
 
 
 def has_visible_text(message: Column, *flags: Column) -> Column:
     """True for text that can be read: not null, not blank, none of the flags (null counts as unset)."""
-    shown = message.isNotNull() & ~message.rlike(UNSEEN)
+    shown = message.isNotNull() & message.rlike(SEEN)
     for f in flags:
         shown = shown & ~F.coalesce(f, F.lit(False))
     return shown
