@@ -8,7 +8,7 @@ M = "chat_id BIGINT, msg_id BIGINT, row_id BIGINT, date STRING, time STRING, ts
 def test_router_reads_english_and_hinglish():
     want = {
         "who talks more": "who_talks_most", "kaun zyada baat karta hai": "who_talks_most", "how many messages": "total", "who replies faster": "reply_speed", "who sends longer messages": "longer_messages",
-        "who uses more emojis": "emoji_user", "what is the busiest day": "busiest_day", "does asha like cooking": None, "who are the participants": "participants", "top emoji": "top_emoji",
+        "who uses more emojis": "emoji_user", "what is the busiest day": "busiest_day", "does mira like cooking": None, "who are the participants": "participants", "top emoji": "top_emoji",
     }
     assert {q: answers.route(q) for q in want} == want
 
