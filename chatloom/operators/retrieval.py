@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import chattext as ct
-from chatloom.operators.adjacent import running_count, with_previous
+from chatloom.operators.pairs import count_pairs
 from chatloom.operators.report import top
+from chatloom.session import checked_broadcast, materialize
 
 K1, B = 1.4, 0.75
+#: Characters of stems that a group of messages holds, of which a task may hold all, and that a task takes in the mean.
+BLOCK_CHARS, TASK_CHARS = 1 << 24, 1 << 21
 
 
 def postings(m: DataFrame) -> DataFrame:
@@ -36,19 +39,42 @@ def stem_totals(posts: DataFrame) -> DataFrame:
     return posts.groupBy("chat_id", "stem").agg(F.count("*").alias("occurrences"))
 
 
-def cooccurrence(m: DataFrame, reach: int = 2, least: int = 2) -> DataFrame:
+def cooccurrence(m: DataFrame, reach: int = 2, least: int = 2, block: int = BLOCK_CHARS) -> DataFrame:
     """Stem pairs within `reach` messages of one run of a date: for each occurrence of the first, 1 per distinct other stem nearby.
 
-    Neighbours come from an equi-join on dense positions, each message being sent to the 2 * reach + 1 places around it.
+    Only texts are shuffled, as their stems, once: a task counts the pairs of whole chats. A chat with more than `block` characters of stems is cut into blocks of
+    message numbers, each with the `reach` messages before and after; only the counts of its blocks are shuffled, to be added.
     """
-    dated = with_previous(m.select("chat_id", "msg_id", "date", "message"), "chat_id", "msg_id", ["date"])
-    dated = dated.withColumns({"one": F.lit(True), "turned": F.col("prev").isNull() | ~F.col("prev.date").eqNullSafe(F.col("date"))}).drop("prev")
-    placed = running_count(running_count(dated, "chat_id", "msg_id", "one", "at"), "chat_id", "msg_id", "turned", "run")
-    stems = placed.select("chat_id", "at", "run", F.transform(ct.meaningful(F.col("message")), ct.stem).alias("stems"))
-    sent = stems.select("chat_id", "run", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)).alias("at"), F.array_distinct("stems").alias("near"))
-    around = sent.groupBy("chat_id", "run", "at").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    pairs = stems.join(around, ["chat_id", "run", "at"]).select("chat_id", F.explode("stems").alias("a"), "near").select("chat_id", "a", F.explode("near").alias("b"))
-    return pairs.filter("a <> b").groupBy("chat_id", "a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    stems = F.array_join(F.transform(ct.meaningful(F.col("message")), ct.stem), " ")
+    rows = materialize(m.filter(F.col("chat_id").isNotNull() & F.col("msg_id").isNotNull()).select("chat_id", "msg_id", "date", stems.alias("stems")), "stems")
+    sizes = rows.groupBy("chat_id").agg(F.sum(F.char_length("stems")).alias("chars"), F.count("*").alias("n"), F.min("msg_id").alias("lowest"))
+    total = sizes.agg(F.sum("chars"), F.count_if(F.col("chars") > block)).first()
+    tasks = max(1, -(-(total[0] or 0) // TASK_CHARS))
+
+    def counted(parts: DataFrame, least: int) -> DataFrame:
+        groups = parts.select("chat_id", "block", "msg_id", "own", "date", "stems").repartition(tasks, "chat_id", "block").sortWithinPartitions("chat_id", "block", "msg_id")
+        return groups.mapInArrow(lambda batches: count_pairs(batches, reach, least), f"chat_id {rows.schema['chat_id'].dataType.simpleString()}, a STRING, b STRING, n BIGINT")
+
+    whole = {"block": F.lit(0).cast("bigint"), "own": F.lit(True)}
+    if not total[1]:
+        return counted(rows.withColumns(whole), least)
+    # as many message numbers as messages of the chat's mean length fill a block
+    width = F.greatest(F.lit(1), F.floor(F.col("n") * block / F.col("chars")))
+    long = checked_broadcast(sizes.filter(F.col("chars") > block).select("chat_id", "lowest", width.alias("width")), total[1])
+    cut = rows.join(long, "chat_id").withColumns({"block": F.expr("(msg_id - lowest) div width"), "own": F.lit(True)}).drop("lowest", "width")
+    parts = counted(cut.unionByName(_across_blocks(cut, reach)), 1).groupBy("chat_id", "a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return counted(rows.join(long, "chat_id", "left_anti").withColumns(whole), least).unionByName(parts)
+
+
+def _across_blocks(cut: DataFrame, reach: int) -> DataFrame:
+    """The `reach` rows before and after each block of a chat, as rows of that block that aren't its own."""
+    side = lambda order, name: cut.withColumn(name, F.row_number().over(Window.partitionBy("chat_id", "block").orderBy(order))).filter(F.col(name) <= reach).drop(name)
+    # what lies inside a block is in reach of no other, so the edges of a chat hold its neighbours in order
+    edges = side(F.col("msg_id"), "_nth").unionByName(side(F.desc("msg_id"), "_nth")).dropDuplicates(["chat_id", "msg_id"])
+    order = Window.partitionBy("chat_id").orderBy("msg_id")
+    around = edges.withColumn("_around", F.array(*[f("block", k).over(order) for k in range(1, reach + 1) for f in (F.lag, F.lead)]))
+    sent = around.withColumn("_to", F.explode(F.array_except(F.array_compact("_around"), F.array("block")))).drop("_around")
+    return sent.withColumns({"block": F.col("_to"), "own": F.lit(False)}).drop("_to")
 
 
 def question_terms(question: str) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import chattext as ct
 from chatloom.operators import evidence, facts, questions, report, retrieval, usage
 from chatloom.plans.report_queries import _LEN, _M, _TOKENS, _in, masked_sql
-from chatloom.session import materialize, scratch_path, table
+from chatloom.session import scratch_path, table
 from chatloom.sources import chatlog
 from chatloom.streaming import live
 
@@ -118,7 +118,7 @@ QUERIES = {
     "index_corpus_stats": lambda s, d: retrieval.corpus_stats(_m(s, d)),
     "index_document_frequency": lambda s, d: retrieval.document_frequency(retrieval.postings(_m(s, d))),
     "index_stem_totals": lambda s, d: retrieval.stem_totals(retrieval.postings(_m(s, d))),
-    "index_cooccurrence": lambda s, d: retrieval.cooccurrence(materialize(_m(s, d), "m")),
+    "index_cooccurrence": lambda s, d: retrieval.cooccurrence(_m(s, d)),
     "search_bm25": lambda s, d: retrieval.bm25(_m(s, d), TERMS).withColumn("score", F.round("score", 6)),
     "search_fuzzy_terms": lambda s, d: retrieval.fuzzy_terms(retrieval.postings(_m(s, d)), ["kitchen", "pottery", "mountain", "balcony"]),
     "search_nearest_vectors": lambda s, d: retrieval.nearest_vectors(table(s, d, "embeddings")),
