@@ -68,6 +68,7 @@ def _pairs(table: pa.Table, reach: int, least: int, pairs: int) -> Iterator[pa.R
     vocabulary, code = words.dictionary, _array(words.indices).astype(np.int64)
     # a text without words splits into one that is empty
     some = code != pc.index(vocabulary, pa.scalar("")).as_py()
+    del lists, words, column["stems"], table
     code, message, bits = code[some], message[some], max(1, len(vocabulary).bit_length())
     size = np.bincount(message, minlength=len(own))
     near, n_near = _nearby(code, np.cumsum(size) - size, size, run, own, reach, bits, pairs)

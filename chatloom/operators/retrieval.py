@@ -16,7 +16,7 @@ from chatloom.session import checked_broadcast, materialize
 
 K1, B = 1.4, 0.75
 #: Characters of stems that a group of messages holds, of which a task may hold all, and that a task takes in the mean.
-BLOCK_CHARS, TASK_CHARS = 1 << 24, 1 << 21
+BLOCK_CHARS, TASK_CHARS = 1 << 23, 1 << 21
 
 
 def postings(m: DataFrame) -> DataFrame:
